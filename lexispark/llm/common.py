@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,11 @@ def space_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with value computed once a row, also where ``then`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def shingle_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; an empty array for null or wordless text."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
