@@ -87,8 +87,9 @@ def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> Data
     by_doc = places.groupBy(F.col("o.n").alias("n"), F.col("o.d").alias("d"), F.col("o.h").alias("h")).agg(F.collect_list(F.struct("a", "b", "o")).alias("c"))
     few = places.select("o.n", "o.d", "o.h").distinct().count()
     texts = docs.select(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("h"), "text")
-    read = texts.join(common.broadcast_if_small(by_doc, few, MOST_DOCS_BROADCAST), ["n", "d", "h"]).select(F.explode("c").alias("c"), F.split("text", "\n").alias("ls"))
-    candidates = read.select("c.a", "c.b", "c.o", normal_line(F.element_at("ls", F.col("c.o.l") + 1)).alias("x")).dropDuplicates(["a", "b"])
+    read = texts.join(common.broadcast_if_small(by_doc, few, MOST_DOCS_BROADCAST), ["n", "d", "h"])
+    taken = common.bind(F.split("text", "\n"), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["o"].alias("o"), normal_line(F.element_at(ls, c["o"]["l"] + 1)).alias("x"))))
+    candidates = read.select(F.explode(taken).alias("t")).select("t.*").dropDuplicates(["a", "b"])
     dropped = common.materialize(_near_dropped(common.materialize(candidates, "line-texts")), "lines-dropped")
 
     stays = firsts.select("a", "b", "o").join(dropped, ["a", "b"], "left_anti")
