@@ -6,8 +6,9 @@ variant: both without the same position (substitution), or the longer without on
 hashed keys; equal keys meet, the edit distance of what met is verified, and of each such pair the earlier line stays.
 
 Variants of every line would be as many as the characters of the corpus.  One edit leaves the first or the last half of
-a line as it was, so lines first meet by hashes of their halves; only a line whose half another distinct line shares
-has its variants emitted.  That loses no pair.
+a line as it was, so lines first meet by hashes of their halves.  A line whose half another distinct line shares then
+emits variants without each of 16 parts, and variants without one character only in parts outside which another line is
+equal.  That loses no pair.
 """
 
 from __future__ import annotations
@@ -21,12 +22,18 @@ from . import common
 MIN_FUZZY_CHARS = 20
 #: Documents with candidate lines up to this many (24 bytes each) are broadcast to the texts; more are joined by shuffle.
 MOST_DOCS_BROADCAST = 200_000
+#: Parts that a candidate line is cut into before single characters are left out.
+BLOCKS = 16
 
 
 def normal_line(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _half_keys(x: Column) -> Column:
     """Hashes of the halves in which a line can agree with one that is as long, one shorter or one longer."""
     n = F.length(x)
@@ -36,28 +43,48 @@ def _half_keys(x: Column) -> Column:
     return F.array_distinct(F.array(*parts))
 
 
+def _block_variants(candidates: DataFrame) -> DataFrame:
+    """(a, b, x) -> (key, a, b, start, n): the line without each of BLOCKS parts, n characters from start on (from 1).
+
+    The parts are those of a line of the same length, and those of one that is a character shorter, with that character.
+    """
+    length = F.length("x")
+
+    def parts(base: Column, more: int) -> Column:
+        def one(j: Column) -> Column:
+            start, end = F.floor(j * base / BLOCKS).cast("int"), (F.floor((j + 1) * base / BLOCKS) + more).cast("int")
+            rest = F.xxhash64(base, j, F.left("x", start), F.right("x", length - end))
+            return F.struct(rest.alias("key"), (start + 1).alias("start"), (end - start).alias("n"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), one)
+
+    return candidates.select("a", "b", F.explode(F.concat(parts(length, 0), parts(length - 1, 1))).alias("p")).select("p.key", "a", "b", "p.start", "p.n")
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The keys that two different lines have."""
+    return keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("key")
+
+
 def _variants(candidates: DataFrame) -> DataFrame:
-    """(a, b, o, x) -> (key, role, a, b, o, x): the line itself, and the line without each position, keyed by position and without."""
-    one = F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.struct(i.alias("i"), F.concat(F.left(F.col("x"), i - 1), F.substr(F.col("x"), i + 1)).alias("v")))
-    cut = candidates.select("a", "b", "o", F.explode(one).alias("c"))
-    keyed = F.array(
-        F.struct(F.xxhash64(F.lit("sub"), F.col("c.i"), F.col("c.v")).alias("key"), F.lit("sub").alias("role")),
-        F.struct(F.xxhash64(F.lit("ins"), F.col("c.v")).alias("key"), F.lit("longer").alias("role")),
-    )
-    emitted = cut.select("a", "b", "o", F.explode(keyed).alias("k")).select("k.key", "k.role", "a", "b", "o")
-    whole = candidates.select(F.xxhash64(F.lit("ins"), F.col("x")).alias("key"), F.lit("whole").alias("role"), "a", "b", "o")
-    return emitted.distinct().unionByName(whole)
+    """(a, b, o, x) -> (key, i, a, b, o): the line itself (i = 0), and the line without each character where an edit may be."""
+    parts = _block_variants(candidates)
+    near = parts.join(_shared(parts), "key", "left_semi").groupBy("a", "b").agg(F.collect_set(F.struct("start", "n")).alias("where"))
+    at = F.array_distinct(F.flatten(F.transform("where", lambda w: F.when(w["n"] > 0, F.sequence(w["start"], w["start"] + w["n"] - 1)).otherwise(F.array().cast("array<int>")))))
+    one = F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.left(F.col("x"), i - 1), F.substr(F.col("x"), i + 1))).alias("key")))
+    cut = candidates.join(near, ["a", "b"]).select("a", "b", "o", F.explode(one).alias("c")).select("c.key", "c.i", "a", "b", "o")
+    return cut.unionByName(candidates.select(F.xxhash64("x").alias("key"), F.lit(0).alias("i"), "a", "b", "o"))
 
 
 def _near_dropped(candidates: DataFrame) -> DataFrame:
     """(a, b) of the lines that have an earlier line within one edit."""
-    group = Window.partitionBy("key")
     me = F.struct("o", "a", "b")
-    earliest = lambda role: F.min(F.when(F.col("role") == role, me)).over(group)
-    met = _variants(candidates).withColumns({"_sub": earliest("sub"), "_whole": earliest("whole"), "_longer": earliest("longer")})
-    # Lines that agree without position i differ there alone; a longer line meets only the whole line it contains.
-    partner = F.when(F.col("role") == "sub", F.col("_sub")).when(F.col("role") == "longer", F.col("_whole")).otherwise(F.col("_longer"))
-    pairs = met.select("a", "b", "o", partner.alias("p")).filter(F.col("p.o") < F.col("o")).select("a", "b", F.col("p.a").alias("pa"), F.col("p.b").alias("pb")).distinct()
+    earliest = lambda which, group: F.min(F.when(which, me)).over(Window.partitionBy(*group))
+    cut = F.col("i") > 0
+    met = _variants(candidates).withColumns({"_whole": earliest(~cut, ["key"]), "_longer": earliest(cut, ["key"]), "_sub": earliest(cut, ["key", "i"])})
+    # Lines that agree without position i differ there alone; a longer line meets the whole line that it contains.
+    partners = F.when(cut, F.array("_sub", "_whole")).otherwise(F.array("_longer"))
+    pairs = met.select("a", "b", "o", F.explode(partners).alias("p")).filter(F.col("p.o") < F.col("o")).select("a", "b", F.col("p.a").alias("pa"), F.col("p.b").alias("pb")).distinct()
     text = candidates.select("a", "b", "x")
     other = candidates.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("x").alias("y"))
     return pairs.join(text, ["a", "b"]).join(other, ["pa", "pb"]).filter(F.levenshtein("x", "y", 1) >= 0).select("a", "b").distinct()
@@ -74,15 +101,14 @@ def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> Data
     """
     spark = docs.sparkSession
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.split(F.col("text"), "\n").alias("ls"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split(F.col("text"), "\n")).alias("l", "line")).withColumn("x", normal_line("line")).filter("x <> ''")
+    lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split(F.col("text"), "\n")).alias("l", "line")).filter(~_blank(F.col("line"))).withColumn("x", normal_line("line"))
     order = F.struct(F.col("d").isNull().alias("n"), F.coalesce("d", F.lit(0)).alias("d"), "h", "l")
     fuzzy = F.length("x") >= min_fuzzy_chars
     hashed = lines.select(F.xxhash64("x").alias("a"), F.xxhash64(F.lit("b"), "x").alias("b"), order.alias("o"), F.when(fuzzy, _half_keys(F.col("x"))).alias("k"))
     firsts = common.materialize(hashed.groupBy("a", "b").agg(F.min("o").alias("o"), F.first("k").alias("k")), "lines")
 
-    keys = firsts.select("a", "b", F.explode("k").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("k")
-    found = keys.join(shared, "k", "left_semi").select("a", "b").distinct()
+    keys = firsts.select("a", "b", F.explode("k").alias("key"))
+    found = keys.join(_shared(keys), "key", "left_semi").select("a", "b").distinct()
     places = common.materialize(found.join(firsts.select("a", "b", "o"), ["a", "b"]), "line-candidates")
     by_doc = places.groupBy(F.col("o.n").alias("n"), F.col("o.d").alias("d"), F.col("o.h").alias("h")).agg(F.collect_list(F.struct("a", "b", "o")).alias("c"))
     few = places.select("o.n", "o.d", "o.h").distinct().count()
@@ -96,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> Data
     kept = stays.groupBy(F.col("o.n").alias("kn"), F.col("o.d").alias("kd"), F.col("o.h").alias("kh")).agg(F.collect_list("o.l").alias("kept"))
     out = named.join(kept, (F.col("d").isNull() == F.col("kn")) & (F.coalesce("d", F.lit(0)) == F.col("kd")) & (F.col("h") == F.col("kh")), "left")
     kept_or_none = F.coalesce("kept", F.array().cast("array<int>"))
-    blank = F.filter(F.transform(F.col("ls"), lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(F.col("ls"), lambda x, i: F.when(_blank(x), i)), lambda i: i.isNotNull())
     stay = F.array_sort(F.concat(kept_or_none, blank))
     n_lines = F.coalesce(F.size("ls") - F.size(blank), F.lit(0))
     out = out.withColumns({"_n": F.when(F.col("ls").isNull(), 0).otherwise(n_lines), "_k": F.size(kept_or_none), "_text": F.array_join(F.transform(stay, lambda i: F.element_at("ls", i + 1)), "\n")})
