@@ -77,6 +77,17 @@ def _threshold(rows: DataFrame, budgets: DataFrame, few: int) -> DataFrame:
     return budgets
 
 
+def mix_plan(rows: DataFrame, weights: Sequence[int], share: float, most: int) -> tuple[DataFrame, int]:
+    """(source, key, size) -> one row per source with source_size, target, whole copies and key threshold; its rows."""
+    totals = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("int")
+    totals = common.materialize(totals.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).coalesce(1), "mix-targets")
+    few = totals.count()
+    below = common.materialize(_threshold(rows, totals.select("source", "_rest"), few).coalesce(1), "mix-thresholds")
+    plan = totals.join(below.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")), "left")
+    return plan.select(F.col("source").alias("_s"), "source_size", "target", "_whole", F.coalesce("_below", F.lit(0)).alias("_below")), few
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
@@ -84,22 +95,31 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     source is repeated whole as often as its target allows; the rest is met by the documents under its key threshold,
     within half of the boundary document.  Null texts and wordless texts have size 0 and are taken with the others.
     Rows repeated with the same id and text share a key and go in or stay out together.  Null sources are one source,
-    named last.  A source of size 0 has target 0.  An empty table gives an empty result.
+    named last.  A source of size 0 has target 0.  Other columns are not looked at.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = common.keep_columns(docs, doc_id="long", text="string", source="string")
     rows = common.materialize(rows.select("doc_id", "source", common.space_words(F.col("text")).alias("size"), document_key(F.col("doc_id"), F.col("text")).alias("key")), "mix")
-    totals = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("int")
-    totals = common.materialize(totals.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).coalesce(1), "mix-targets")
-    few = totals.count()
-    below = common.materialize(_threshold(rows, totals.select("source", "_rest"), few).coalesce(1), "mix-thresholds")
-    plan = totals.join(below.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_whole", F.coalesce("_below", F.lit(0)).alias("_below"))
+    plan, few = mix_plan(rows, weights, share, most)
     out = rows.join(common.broadcast_if_small(plan, few, MOST_SOURCES_BROADCAST), F.col("source").eqNullSafe(F.col("_s")))
     copies = F.least(F.col("_whole") + (F.col("key") < F.col("_below")).cast("int"), F.lit(most))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES) -> DataFrame:
+    """The documents that the mix of ``mix_sources`` takes, with their columns and size, source_size, target, copies, taken.
+
+    The texts are read twice and filtered in place; they are not shuffled.
+    """
+    named = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), common.space_words(F.col("text")).alias("size"), document_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
+    plan, few = mix_plan(common.materialize(named.select("source", "size", "key"), "mix"), weights, share, most)
+    out = named.join(common.broadcast_if_small(plan, few, MOST_SOURCES_BROADCAST), F.col("source").eqNullSafe(F.col("_s")))
+    out = out.withColumn("copies", F.least(F.col("_whole") + (F.col("key") < F.col("_below")).cast("int"), F.lit(most))).filter("copies > 0")
+    row = F.col("row")
+    for name, value in (("size", F.col("size")), ("source_size", F.col("source_size")), ("target", F.col("target")), ("copies", F.col("copies")), ("taken", F.col("size") * F.col("copies"))):
+        row = row.withField(name, value)
+    return out.select(row.alias("row")).select("row.*")
+
+
 QUERY = "op4_mix_sources"
 
 
