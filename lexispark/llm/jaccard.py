@@ -314,7 +314,7 @@ def compare(threshold: float):
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
         shared = np.zeros((m, m), np.float64)
-        wide = max(256, 8_000_000 // m)
+        wide = min(int(at[-1]) + 1, max(256, 8_000_000 // m))
         for c in range(0, int(at[-1]) + 1, wide):
             a, b = np.searchsorted(at, [c, c + wide])
             dense = np.zeros((m, wide), np.float32)
