@@ -70,7 +70,7 @@ def save(space: Space, docs: DataFrame, categories: DataFrame, path: str, finger
         "k1": space.k1, "b": space.b, "stop_words": sorted(space.stop_words), "fingerprint": fingerprint, "digests": {t: table_digest(df) for t, df in stored.items()},
     }
     manifest["digest"] = manifest_digest(manifest)
-    write_text(spark, f"{path}/_manifest.json", json.dumps(manifest, sort_keys=True))
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
@@ -127,7 +127,7 @@ class Index:
 
 def load(spark: SparkSession, path: str, verify: bool = True) -> Index:
     """The manifest is checked first: version, policy, its own digest; then the tables' rows, digests and snippets."""
-    manifest = json.loads(read_text(spark, f"{path}/_manifest.json"))
+    manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
     if manifest.get("version") != VERSION or manifest.get("policy") != POLICY:
         raise ValueError("index artifact has another version or policy; rebuild it")
     if manifest_digest(manifest) != manifest.get("digest"):
