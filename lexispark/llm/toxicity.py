@@ -1,10 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 The lexicon is seeded with a short list and extended by words and word beginnings that are much more frequent in
-documents marked toxic.  Groups of its entries and patterns over their hits are voters.  The label model is a mixture of
-two classes in which every voter fires with a probability of its own per class, fitted by EM without labels; voters that
-stay correlated within the classes form blocks whose members share one vote.  Its posteriors, not the marks, are what
-the linear classifier over the entries is trained on.
+documents marked toxic.  Groups of its entries, patterns over their hits and the marks themselves are voters.  The label
+model is a mixture of two classes in which every voter, the marks among them, fires with a probability of its own per
+class, fitted by EM; voters that repeat each other, or stay correlated within the classes, form blocks whose members share
+one vote.  Its posteriors, not the marks, are what the linear classifier over the entries is trained on.
 """
 
 from __future__ import annotations
@@ -116,12 +116,22 @@ class Lexicon:
         return [*by_group, bool(seeds), len(seeds) > 1, bool(rest), len(rest) > 1, len(hits) > 3, share >= 0.005, share >= 0.02, bool(hits) and "!" in (text or "")]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n x m firings -> posteriors of class 1, m x 2 firing probabilities, and each voter's weight by its block."""
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n x m firings -> posteriors of class 1, m x 2 firing probabilities, and each voter's weight by its block.
+
+    ``start`` is a first guess of the posteriors; without one it is the weighted share of voters that fire.
+    """
     n, m = votes.shape
     x = votes.astype(np.float64)
-    weight = np.ones(m)
-    post = np.clip(x.mean(axis=1) * m, 0, 1) * 0.9 + 0.05
+
+    def tied(rest: np.ndarray, over: float) -> np.ndarray:
+        scale = np.sqrt(np.maximum((rest**2).sum(axis=0), 1e-9))
+        return (np.abs(rest.T @ rest / np.outer(scale, scale)) > over) | np.eye(m, dtype=bool)
+
+    # Voters that all but repeat each other are one block from the start: else the classes would be fitted to them.
+    copies = tied(x - x.mean(axis=0), 0.85)
+    weight = 1 / copies.sum(axis=1)
+    post = (np.clip(x @ weight / max(weight.sum() * prior, 1e-9), 0, 1) if start is None else start) * 0.9 + 0.05
     for step in range(2):
         for _ in range(rounds):
             fire = np.stack([((1 - post) @ x + 0.5) / ((1 - post).sum() + 1), (post @ x + 0.5) / (post.sum() + 1)], axis=1)
@@ -132,10 +142,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
                 break
         if step == 0:
             mean = np.outer(1 - post, fire[:, 0]) + np.outer(post, fire[:, 1])
-            rest = x - mean
-            scale = np.sqrt(np.maximum((rest**2).sum(axis=0), 1e-9))
-            tied = np.abs(rest.T @ rest / np.outer(scale, scale)) > 0.5
-            weight = 1 / tied.sum(axis=1)
+            weight = 1 / (tied(x - mean, 0.5) | copies).sum(axis=1)
     return post, fire, weight
 
 
@@ -173,10 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tupl
     def vote(frames):
         for frame in frames:
             found = [lexicon.hits(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "hits": [h for h, _ in found], "votes": [lexicon.votes(h, k, t) for (h, k), t in zip(found, frame["text"], strict=True)]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "hits": [h for h, _ in found], "votes": [lexicon.votes(h, k, t) for (h, k), t in zip(found, frame["text"], strict=True)]})
 
-    rows = sample.mapInPandas(vote, "doc_id long, hits array<int>, votes array<boolean>").orderBy("doc_id").toPandas()
-    post, _, _ = label_model(np.array(rows["votes"].tolist(), bool), float(np.clip(n_pos / n, 0.01, 0.99)))
+    rows = sample.mapInPandas(vote, "doc_id long, y int, hits array<int>, votes array<boolean>").orderBy("doc_id").toPandas()
+    marks = rows["y"].to_numpy(bool)
+    votes = np.column_stack([np.array(rows["votes"].tolist(), bool), marks])
+    post, _, _ = label_model(votes, float(np.clip(n_pos / n, 0.01, 0.99)), marks.astype(np.float64))
     return lexicon, fit_linear([list(h) for h in rows["hits"]], post, len(lexicon.entries))
 
 
