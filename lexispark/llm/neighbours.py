@@ -191,24 +191,33 @@ def nearest(vectors: DataFrame, query_every: int = QUERY_EVERY, top: int = TOP)
     sample = np.unique(np.array(drawn["x"].tolist(), np.float64), axis=0) if len(drawn) else np.zeros((0, 1))
     router, probes = learn(sample) if len(sample) > 1 else (None, 1)
 
-    def assign(most: int):
+    def assign(most: int, held: dict[int, int] | None = None):
         def run(frames):
             for frame in frames:
                 if not len(frame):
                     continue
                 if router is None:
-                    found = np.zeros((len(frame), 1), np.int64)
+                    order = np.zeros((len(frame), 1), np.int64)
                 else:
-                    found = np.argsort(-router.logits(unit(np.array(frame["x"].tolist(), np.float64))), axis=1, kind="stable")[:, :most]
-                yield pd.DataFrame({"id": frame["vec_id"], "parts": list(found), "x": frame["x"]})
+                    order = np.argsort(-router.logits(unit(np.array(frame["x"].tolist(), np.float64))), axis=1, kind="stable")
+                if held is None:
+                    found = list(order[:, :most])
+                else:
+                    # As many parts more as it takes to hold enough candidates.
+                    upto = np.cumsum(np.array([held.get(p, 0) for p in range(order.max(initial=0) + 1)])[order], axis=1)
+                    enough = np.where(upto[:, -1] > top, np.argmax(upto > top, axis=1) + 1, order.shape[1])
+                    found = [o[: max(most, n)] for o, n in zip(order, enough, strict=True)]
+                yield pd.DataFrame({"id": frame["vec_id"], "parts": found, "x": frame["x"]})
 
         return run
 
     schema = "id long, parts array<long>, x array<double>"
     indexed = rows.mapInPandas(assign(1), schema).select(F.col("parts")[0].alias("part"), "id", "x")
+    indexed = common.materialize(indexed, "indexed")
+    # At most MOST_PARTS rows.
+    held = {r.part: r.n for r in indexed.groupBy("part").agg(F.count_distinct("id").alias("n")).collect()}
     asked = rows.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    routed = asked.mapInPandas(assign(probes), schema).select(F.explode("parts").alias("part"), "id", "x")
-    indexed, routed = common.materialize(indexed, "indexed"), common.materialize(routed, "routed")
+    routed = common.materialize(asked.mapInPandas(assign(probes, held), schema).select(F.explode("parts").alias("part"), "id", "x"), "routed")
     # At most MOST_PARTS rows.
     counts = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("vb")).join(routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), "part")
     counts = F.broadcast(counts)
