@@ -33,6 +33,6 @@ def scored(stream: DataFrame, index: Index, query: str) -> DataFrame:
     ratio = F.size("tokens") / F.lit(average) if average > 0 else F.lit(0.0)
     score = F.lit(0.0)
     for r in terms:
-        f = F.size(F.filter("tokens", lambda w, t=r.term: w == t)).cast("double")
+        f = (F.size("tokens") - F.size(F.array_remove("tokens", r.term))).cast("double")
         score = score + F.lit(r.bm25_idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * ratio))
     return tokens.select("doc_id", "clean", score.alias("score")).filter("score > 0")
