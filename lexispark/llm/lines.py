@@ -20,8 +20,8 @@ from . import common
 
 #: Normalised lines under this many characters are compared for equality only: one edit makes a short line another line.
 MIN_FUZZY_CHARS = 20
-#: Documents with candidate lines up to this many (24 bytes each) are broadcast to the texts; more are joined by shuffle.
-MOST_DOCS_BROADCAST = 200_000
+#: Candidate lines up to this many (under 64 bytes each) are broadcast to the texts; more are joined by shuffle.
+MOST_LINES_BROADCAST = 400_000
 #: Parts that a candidate line is cut into before single characters are left out.
 BLOCKS = 16
 
@@ -111,9 +111,9 @@ def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> Data
     found = keys.join(_shared(keys), "key", "left_semi").select("a", "b").distinct()
     places = common.materialize(found.join(firsts.select("a", "b", "o"), ["a", "b"]), "line-candidates")
     by_doc = places.groupBy(F.col("o.n").alias("n"), F.col("o.d").alias("d"), F.col("o.h").alias("h")).agg(F.collect_list(F.struct("a", "b", "o")).alias("c"))
-    few = places.select("o.n", "o.d", "o.h").distinct().count()
+    few = places.count()
     texts = docs.select(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("h"), "text")
-    read = texts.join(common.broadcast_if_small(by_doc, few, MOST_DOCS_BROADCAST), ["n", "d", "h"])
+    read = texts.join(common.broadcast_if_small(by_doc, few, MOST_LINES_BROADCAST), ["n", "d", "h"])
     taken = common.bind(F.split("text", "\n"), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["o"].alias("o"), normal_line(F.element_at(ls, c["o"]["l"] + 1)).alias("x"))))
     candidates = read.select(F.explode(taken).alias("t")).select("t.*").dropDuplicates(["a", "b"])
     dropped = common.materialize(_near_dropped(common.materialize(candidates, "line-texts")), "lines-dropped")
