@@ -146,7 +146,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None
     return post, fire, weight
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+def fit_linear(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 800, rate: float = 0.5, ridge: float = 2e-5) -> np.ndarray:
     """Logistic regression over entry presence and a bias, by full-batch Adam with soft targets, classes weighed alike."""
     x = np.zeros((len(rows), width + 1), np.float32)
     for i, hits in enumerate(rows):
