@@ -16,15 +16,18 @@ from ..operators import vectorize as V
 ABLATION_SEEDS = tuple(range(10))
 
 
-def evaluate(train: DataFrame, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", stop_words: Iterable[str] | None = None, space: V.Space | None = None) -> DataFrame:
-    """Per-query metrics of label retrieval: (doc_id, text, label) searched by (query_id, text, label)."""
+def evaluate(train: DataFrame, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", stop_words: Iterable[str] | None = None, space: V.Space | None = None, small: bool = True) -> DataFrame:
+    """Per-query metrics of label retrieval: (doc_id, text, label) searched by (query_id, text, label).
+
+    ``small`` broadcasts the terms of the queries.
+    """
     from ..functions.text import STOP_WORDS
 
     words = STOP_WORDS if stop_words is None else tuple(stop_words)
     space = space or V.Space(train.select("doc_id", "text"), words)
     weights = R.query_weights(space, V.tokenized(queries, words, "query_id"), method, mode)
     postings = space.postings([mode] if method != "bm25" else [], method == "bm25")
-    scores = R.scores_inverted(postings, weights, "w_bm25" if method == "bm25" else f"w_{mode}")
+    scores = R.scores_inverted(postings, weights, "w_bm25" if method == "bm25" else f"w_{mode}", small)
     return M.retrieval_metrics(R.padded_ranking(scores, queries, train, k), queries, train, k)
 
 
@@ -40,7 +43,7 @@ def ablation_variant(docs: DataFrame, name: str, stop_words: Iterable[str], coun
     train, queries = held_out(docs, count, seed)
     space = V.Space(train.select("doc_id", "text"), words)
     size = space.vocab.agg(F.count("*").alias("vocabulary_size"))
-    means = M.mean_metrics(evaluate(train, queries, k, stop_words=words, space=space))
+    means = M.mean_metrics(evaluate(train, queries, k, stop_words=words, space=space, small=count is not None))
     return means.crossJoin(size).select(F.lit(name).alias("name"), F.lit(len(words)).alias("stop_word_count"), "vocabulary_size", "precision_at_k", "map_at_k")
 
 

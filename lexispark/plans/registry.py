@@ -339,18 +339,21 @@ def split_disjoint(spark, sf_dir):
     return d.agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train")).crossJoin(test.intersect(train).agg(F.count("*").alias("shared")))
 
 
-# Evaluation: held-out documents search the training documents; same language is relevant
+# Evaluation: held-out documents search the training documents; same language is relevant.  The queries with a DuckDB text
+# ask a sample of SAMPLED held-out documents, as their texts do; those named ..._all ask every one and have no text.
 
+SAMPLED = 40
 
-def _evaluation(spark, sf_dir, method="tfidf", mode="raw", stop_words=T.STOP_WORDS):
+
+def _evaluation(spark, sf_dir, method="tfidf", mode="raw", stop_words=T.STOP_WORDS, count=SAMPLED):
     d = S.stratified_split(labelled(spark, sf_dir))
-    train, test = d.filter("NOT is_test").drop("is_test"), S.query_subset(d.filter("is_test").drop("is_test"), 40)
+    train, test = d.filter("NOT is_test").drop("is_test"), S.query_subset(d.filter("is_test").drop("is_test"), count)
     space = V.Space(train.select("doc_id", "text"), stop_words)
     q = test.select(F.col("doc_id").alias("query_id"), "text", "label")
     tokens = V.tokenized(q, stop_words, "query_id")
     weights = R.query_weights(space, tokens, method, mode)
     p = space.postings([mode] if method != "bm25" else [], method == "bm25")
-    scores = R.scores_inverted(p, weights, "w_bm25" if method == "bm25" else f"w_{mode}")
+    scores = R.scores_inverted(p, weights, "w_bm25" if method == "bm25" else f"w_{mode}", small=count is not None)
     ranking = R.padded_ranking(scores, q, train, K)
     return M.retrieval_metrics(ranking, q, train, K)
 
@@ -367,13 +370,21 @@ nr AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
 pq AS (SELECT query_id, query_label, sum(rel) / {K} AS precision_at_k, sum(pp) / least(any_value(nr.n), {K}) AS ap_at_k, array_to_string(list(doc_id ORDER BY rank), ',') AS top_docs, array_to_string(list(pr.label ORDER BY rank), ',') AS top_labels FROM pr JOIN nr ON pr.query_label = nr.label GROUP BY query_id, query_label)"""
 
 
-@query(f"WITH {_eval_sql('raw')} SELECT query_id, query_label, round(precision_at_k, 6) AS precision_at_k, round(ap_at_k, 6) AS ap_at_k, top_docs, top_labels FROM pq")
-def per_query_metrics(spark, sf_dir):
-    out = _evaluation(spark, sf_dir)
+def _per_query(out):
     joined = lambda c, n: F.array_join(F.col(c).cast("array<string>"), ",").alias(n)
     return out.select("query_id", "query_label", *_six("precision_at_k", "ap_at_k"), joined("top_doc_ids", "top_docs"), joined("top_labels", "top_labels"))
 
 
+@query(f"WITH {_eval_sql('raw')} SELECT query_id, query_label, round(precision_at_k, 6) AS precision_at_k, round(ap_at_k, 6) AS ap_at_k, top_docs, top_labels FROM pq")
+def per_query_metrics(spark, sf_dir):
+    return _per_query(_evaluation(spark, sf_dir))
+
+
+@query()
+def per_query_metrics_all(spark, sf_dir):
+    return _per_query(_evaluation(spark, sf_dir, count=None))
+
+
 _mean = "SELECT count(*) AS queries, round(avg(precision_at_k), 6) AS precision_at_k, round(avg(ap_at_k), 6) AS map_at_k FROM pq"
 
 
@@ -381,7 +392,11 @@ def _eval_query(name, method, mode):
     def run(spark, sf_dir):
         return M.mean_metrics(_evaluation(spark, sf_dir, method, mode)).select("queries", *_six("precision_at_k", "map_at_k"))
 
-    run.__name__ = name
+    def run_all(spark, sf_dir):
+        return M.mean_metrics(_evaluation(spark, sf_dir, method, mode, count=None)).select("queries", *_six("precision_at_k", "map_at_k"))
+
+    run.__name__, run_all.__name__ = name, f"{name}_all"
+    query()(run_all)
     return query(f"WITH {_eval_sql('bm25' if method == 'bm25' else mode)} {_mean}")(run)
 
 
@@ -395,10 +410,23 @@ def quality_difference(spark, sf_dir):
     return M.quality_difference(_evaluation(spark, sf_dir), _evaluation(spark, sf_dir, "bm25"))
 
 
+@query()
+def quality_difference_all(spark, sf_dir):
+    return M.quality_difference(_evaluation(spark, sf_dir, count=None), _evaluation(spark, sf_dir, "bm25", count=None))
+
+
+def _ranked(out):
+    return out.select("query_id", F.posexplode("top_doc_ids").alias("p", "doc_id")).select("query_id", (F.col("p") + 1).alias("rank"), "doc_id")
+
+
 @query(f"WITH {_eval_sql('raw')} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id FROM rk")
 def padded_ranking(spark, sf_dir):
-    out = _evaluation(spark, sf_dir)
-    return out.select("query_id", F.posexplode("top_doc_ids").alias("p", "doc_id")).select("query_id", (F.col("p") + 1).alias("rank"), "doc_id")
+    return _ranked(_evaluation(spark, sf_dir))
+
+
+@query()
+def padded_ranking_all(spark, sf_dir):
+    return _ranked(_evaluation(spark, sf_dir, count=None))
 
 
 _ablate = f"SELECT 'default' AS name, CAST({len(T.STOP_WORDS)} AS INTEGER) AS stop_word_count, (SELECT count(*) FROM voc) AS vocabulary_size, (SELECT round(avg(precision_at_k), 6) FROM pq) AS precision_at_k, (SELECT round(avg(ap_at_k), 6) FROM pq) AS map_at_k"
@@ -408,10 +436,18 @@ _ablate = f"SELECT 'default' AS name, CAST({len(T.STOP_WORDS)} AS INTEGER) AS st
 def stop_word_ablation(spark, sf_dir):
     from .experiments import ablation_variant
 
-    parts = [ablation_variant(labelled(spark, sf_dir), name, words, 40, K) for name, words in (("default", T.STOP_WORDS), ("none", ()))]
+    parts = [ablation_variant(labelled(spark, sf_dir), name, words, SAMPLED, K) for name, words in (("default", T.STOP_WORDS), ("none", ()))]
     return parts[0].unionByName(parts[1]).select("name", "stop_word_count", "vocabulary_size", *_six("precision_at_k", "map_at_k"))
 
 
+@query()
+def stop_word_ablation_all(spark, sf_dir):
+    """All held-out documents of all seeds."""
+    from .experiments import stop_word_ablation as ablation
+
+    return ablation(labelled(spark, sf_dir), None, K)
+
+
 # Classification metrics over stand-in predictions: the label, or for a tenth of ids another one
 
 _GUESS = "pd AS (SELECT doc_id, text, lang AS label, CASE WHEN substr(md5('p' || doc_id), 1, 1) IN ('0', '1', '2') THEN 'en' WHEN substr(md5('p' || doc_id), 1, 1) = '3' THEN 'fr' ELSE lang END AS prediction FROM documents)"
