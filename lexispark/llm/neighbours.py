@@ -136,28 +136,28 @@ def learn(x: np.ndarray, seed: int = SEED) -> tuple[Router, int]:
 
 
 def rank_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: int) -> list[tuple[int, list[int], list[float]]]:
-    """Each query's ``top`` nearest of the block by exact inner product, ties to the smaller id, its own id left out."""
+    """Each query's ``top`` nearest of the block by exact inner product, ties to the smaller id, its own id left out.
+
+    An id of several rows counts once, with its best score: the cut leaves at least ``top`` ids, not rows.
+    """
     rough = q @ x.T
     slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
+    by_id = np.argsort(ids, kind="stable")
+    different, starts = np.unique(ids[by_id], return_index=True)
+    repeats = len(different) < len(ids)
+    different, best = (different, np.maximum.reduceat(rough[:, by_id], starts, axis=1)) if repeats else (ids, rough)
     out = []
     for r, qid in enumerate(query_ids):
         usable = np.flatnonzero(ids != qid)
-        s = rough[r, usable]
-        if len(usable) > 4 * top:
+        s = best[r, different != qid]
+        if len(s) > 4 * top:
             s_cut = np.partition(s, len(s) - top)[len(s) - top] - slack
-            usable = usable[s >= s_cut]
+            usable = usable[rough[r, usable] >= s_cut]
         exact = (x[usable] * q[r]).sum(axis=1)
         order = np.lexsort((ids[usable], -exact))
         found, scores = ids[usable][order], exact[order]
-        if len(np.unique(found)) < len(found):
-            _, first = np.unique(found, return_index=True)
-            if len(first) < top < len(found) and len(usable) < (ids != qid).sum():
-                usable = np.flatnonzero(ids != qid)
-                exact = (x[usable] * q[r]).sum(axis=1)
-                order = np.lexsort((ids[usable], -exact))
-                found, scores = ids[usable][order], exact[order]
-                _, first = np.unique(found, return_index=True)
-            first = np.sort(first)
+        if repeats:
+            first = np.sort(np.unique(found, return_index=True)[1])
             found, scores = found[first], scores[first]
         out.append((int(qid), found[:top].tolist(), scores[:top].tolist()))
     return out

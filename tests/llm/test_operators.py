@@ -394,5 +394,28 @@ def test_neighbours_edges(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got)] == [(0, 1, 3, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0)]
 
 
+@pytest.mark.parametrize("copies", [2, 4, 5])
+def test_neighbours_of_a_block_of_repeated_ids(copies):
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (300, 8))
+    # Copies of an id differ, so its best score counts.
+    rows = np.concatenate([x + rng.normal(0, 0.01, x.shape) for _ in range(copies)])
+    ids = np.tile(np.arange(300), copies)
+    for qid, found, scores in neighbours.rank_block(ids, rows, np.arange(40), x[:40], 20):
+        s = (rows @ x[qid]).reshape(copies, 300).max(axis=0)
+        s[qid] = -np.inf
+        want = np.argsort(-s)[:20]
+        assert found == want.tolist() and scores == pytest.approx(s[want].tolist())
+
+
+@pytest.mark.parametrize("copies", [2, 4])
+def test_neighbours_of_repeated_rows_are_those_of_single_rows(spark, copies):
+    x = np.random.default_rng(12).normal(0, 1, (1000, 16))
+    rows = [(int(i), x[i].tolist()) for i in range(1000)]
+    one, many = ([tuple(r) for r in sorted(neighbours.nearest(frame(spark, rows * c, "vec_id long, embedding array<double>")).collect())] for c in (1, copies))
+    assert [r[:3] for r in many] == [r[:3] for r in one] and [r[3] for r in many] == pytest.approx([r[3] for r in one])
+    assert len(one) == 20 * 50
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == common.shared_dir(spark)
