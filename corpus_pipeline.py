@@ -11,35 +11,40 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import common
 from lexispark.llm.decontam import drop_contaminated
-from lexispark.llm.jaccard import near_duplicates
+from lexispark.llm.jaccard import one_of_each_class
 from lexispark.llm.lines import dedup_lines
 from lexispark.llm.mixing import mixed_documents
 from lexispark.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go, row by row: others with their doc_id, or without one, stay."""
     return drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from their documents; a document that had lines and lost all of them goes, too."""
+    """Repeated lines go from their documents; a document that had lines and lost all of them goes, too.
+
+    Rows of the same doc_id and text are one document here and stay or go together; the next stage keeps one of them.
+    """
     return dedup_lines(docs).filter("NOT emptied").drop("n_lines", "n_dropped", "emptied").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays."""
-    others = near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
+    """Of each class of near duplicates one row stays: the smallest doc_id, nulls last, then by hashes of text and row.
+
+    Rows of one doc_id with unlike texts are documents of their own; wordless and null texts all stay.
+    """
+    return one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, row by row: others with their doc_id, or without one, stay."""
     return drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, and how often it repeats each."""
+    """The documents of the mix, and how often it repeats each; rows of one doc_id with unlike texts are drawn apart."""
     return mixed_documents(docs)
 
 

@@ -88,6 +88,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(shingle_words(text), lambda w: F.xxhash64(w))
 
 
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not among ``rows`` (doc_id, h: xxhash64 of the text); a null id is an id."""
+    gone = rows.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_h")), "left_anti")
+
+
 def text_key(*cols: Column) -> Column:
     """128-bit digest of the columns, nulls kept apart from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("0")) for c in cols]

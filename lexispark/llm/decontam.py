@@ -45,14 +45,8 @@ def item_sketches(items: DataFrame, threshold: float) -> DataFrame:
     return kept.select("item", "size_class", "k", F.explode(F.slice("s", F.lit(1), F.col("k"))).alias("hash"))
 
 
-def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = common.SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_shingles, matched, containment) of every document and item with containment >= threshold.
-
-    Words are lower-cased runs of letters and digits.  Items and documents with under five words have one shingle, all
-    their words; wordless or null texts have none and never match.  Shingles are compared by 64-bit hash.  Rows repeated
-    with the same id come out once per pair, with the largest containment; null ids are kept as ids of their own.  Empty
-    tables give an empty result, and other columns are not looked at.
-    """
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(doc_id, h, i, n, m) of every text, told by id and hash, and item id (as a string) with containment >= threshold."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = docs.sparkSession
@@ -77,15 +71,26 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     n_shingles = items.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
     pairs = read.join(found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "item"), same).join(common.broadcast_if_small(items, n_shingles, MOST_ITEM_SHINGLES), "item")
     matched, n = F.size(F.array_intersect("s", "has")), F.size("s")
-    pairs = pairs.select("doc_id", F.explode("ids").alias("i"), n.cast("long").alias("n"), matched.cast("long").alias("m")).filter(F.col("m") >= F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)))
+    pairs = pairs.select("doc_id", "h", F.explode("ids").alias("i"), n.cast("long").alias("n"), matched.cast("long").alias("m")).filter(F.col("m") >= F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)))
+    return pairs
+
+
+def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = common.SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, item_id, item_shingles, matched, containment) of every document and item with containment >= threshold.
+
+    Words are lower-cased runs of letters and digits.  Items and documents with under five words have one shingle, all
+    their words; wordless or null texts have none and never match.  Shingles are compared by 64-bit hash.  Rows repeated
+    with the same id come out once per pair, with the largest containment; null ids are kept as ids of their own.  Empty
+    tables give an empty result, and other columns are not looked at.
+    """
+    pairs = _contained(docs, items, threshold, words)
     best = pairs.groupBy("doc_id", F.expr("try_cast(i AS bigint)").alias("item_id")).agg(F.max(F.struct(F.col("m") / F.col("n"), "n", "m")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("item_shingles"), F.col("b.m").alias("matched"), (F.col("b.m") / F.col("b.n")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item; a null doc_id is compared like any other."""
-    hit = find_contained(docs, items, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` that contain no item; rows of one doc_id, or of none, are judged each by its text."""
+    return common.without_rows(docs, _contained(docs, items, threshold, common.SHINGLE_WORDS))
 
 
 QUERY = "op3_find_contained"

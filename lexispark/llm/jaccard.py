@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -355,16 +355,10 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(kept | {"s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, set_id, class_id, n_links.
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows as (doc_id, h, set_id, ...), and (id, least_id, class_id, n_links, first) of each set.
 
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles (lower-cased runs of letters
-    and digits; all words of a shorter text) is at least ``threshold``.  Documents with equal sets are copies: set_id is
-    the smallest doc_id among them.  n_links counts the other sets that a document's set is linked to, copies once.
-    class_id is the smallest doc_id that a document is connected with through links and copies.  Wordless and null texts
-    have no shingles; each is a class of its own.  Null doc_ids are passed over for set_id and class_id, which are null
-    if there is no other.  Rows repeated whole are copies.  Sets are told apart by a 64-bit digest, shingles by a 64-bit
-    hash.  Other columns are not looked at; an empty table gives an empty result.
+    ``first`` (n: no id, doc_id, h) is the text that comes first in the class, by doc_id, nulls last, then a hash of the text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     signed = common.materialize(texts.select("doc_id", "h", common.word_hashes(F.col("text")).alias("w")).mapInArrow(sign, "doc_id long, h long, set_id long, n int, sig binary"), "signatures")
@@ -388,14 +382,51 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("id").alias("u"), F.col("root").alias("v")), "classes").select(F.col("node").alias("id"), "root")
-    known = sets.select("id", F.col("doc_id").alias("set_id")).join(links, "id", "left").join(classes, "id", "left").select("id", "set_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    known = known.join(lowest, "root").select(F.col("id"), F.col("set_id").alias("least_id"), "class_id", "n_links")
+    known = sets.select("id", F.col("doc_id").alias("set_id"), "from").join(links, "id", "left").join(classes, "id", "left").select("id", "set_id", "from", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    lowest = known.groupBy("root").agg(F.min("set_id").alias("class_id"), F.min("from").alias("first"))
+    known = known.join(lowest, "root").select(F.col("id"), F.col("set_id").alias("least_id"), "class_id", "n_links", "first")
+    return signed, known
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: doc_id, set_id, class_id, n_links.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles (lower-cased runs of letters
+    and digits; all words of a shorter text) is at least ``threshold``.  Documents with equal sets are copies: set_id is
+    the smallest doc_id among them.  n_links counts the other sets that a document's set is linked to, copies once.
+    class_id is the smallest doc_id that a document is connected with through links and copies.  Wordless and null texts
+    have no shingles; each is a class of its own.  Null doc_ids are passed over for set_id and class_id, which are null
+    if there is no other.  Rows repeated whole are copies.  Sets are told apart by a 64-bit digest, shingles by a 64-bit
+    hash.  Other columns are not looked at; an empty table gives an empty result.
+    """
+    signed, known = _classes(docs, threshold)
     out = signed.select("doc_id", F.col("set_id").alias("id")).join(known, "id", "left")
     alone = F.col("id").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("set_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of near duplicates, with its columns: the smallest doc_id, nulls last, then a hash of the text.
+
+    Rows that agree in both are copies like any others, of which the one with the smallest hash of the row stays.  Rows of
+    one doc_id with unlike texts are documents of their own.  Wordless and null texts all stay, since none is a copy.
+    """
+    signed, known = _classes(docs, threshold)
+    placed = signed.select("doc_id", "h", F.col("set_id").alias("id")).join(known.select("id", "first"), "id")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    placed = common.materialize(placed.select("doc_id", "h", stays.alias("stays")), "class-firsts")
+    kept = common.without_rows(docs, placed.filter("NOT stays"))
+    repeated = placed.filter("stays").groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h")
+    few = repeated.count()
+    if not few:
+        return kept
+    again = common.broadcast_if_small(repeated.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), few, MOST_BROADCAST)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    place = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.xxhash64(*docs.columns)))
+    one = kept.join(again, same).withColumn("_place", place).filter("_place = 1").drop("_place", "_d", "_h")
+    return common.without_rows(kept, repeated).unionByName(one)
+
+
 QUERY = "op8_near_duplicates"
 
 

@@ -219,9 +219,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    rejected = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
+    """The rows of ``docs`` that are not predicted toxic, with their columns; rows of one doc_id are judged each by its text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rejected = score(rows, train(docs, labels), "doc_id", "h").filter(F.col("score") >= CUT)
+    return common.without_rows(docs, rejected)
 
 
 QUERY = "op5_toxicity"

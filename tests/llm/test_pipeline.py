@@ -1,6 +1,7 @@
 """The pipeline on the smallest tables, each stage against a brute-force version on its own input."""
 
 import os
+import random
 
 import pytest
 from test_lines import plain
@@ -60,3 +61,77 @@ def before_sizes(before, source):
 def test_the_stages_are_the_five_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def rows_of(spark, *pairs):
+    return spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in pairs], SCHEMA)
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def sorted_rows(*pairs):
+    return sorted(pairs, key=str)
+
+
+def test_ngram_stage_keeps_one_row_of_each_class(spark, tmp_path):
+    a, b, c, d = (prose(k) for k in "abcd")
+    near = a + " zzzzzz"
+    docs = rows_of(spark, (1, a), (1, a), (1, a), (2, b), (2, c), (None, near), (None, d), (None, d), (5, c + " zzzzzz"), (9, None), (9, None), (8, ""))
+    got = kept(corpus_pipeline.ngram_join(spark, docs, str(tmp_path)))
+    # 1: one of three equal rows, and not its near copy without id; 2: two unlike texts of one id stay, the near copy 5 goes.
+    assert got == sorted_rows((1, a), (2, b), (2, c), (None, d), (9, None), (9, None), (8, ""))
+
+
+def test_ngram_stage_does_not_drop_a_document_that_shares_its_id_with_a_copy(spark, tmp_path):
+    a, b = prose("a"), prose("b")
+    got = kept(corpus_pipeline.ngram_join(spark, rows_of(spark, (1, a), (7, a + " zzzzzz"), (7, b)), str(tmp_path)))
+    assert got == sorted_rows((1, a), (7, b))
+
+
+def test_ngram_stage_chooses_among_equal_texts_whatever_their_other_columns(spark, tmp_path):
+    a = prose("a")
+    rows = [(1, a, "en", s, len(a)) for s in ("web", "book", "code")]
+    got = [corpus_pipeline.ngram_join(spark, spark.createDataFrame(r, SCHEMA), str(tmp_path)).collect() for r in (rows, rows[::-1])]
+    assert len(got[0]) == 1 and got[0] == got[1]
+
+
+def test_decontamination_judges_each_row(spark, tmp_path):
+    item, a, b = prose("item", 20), prose("a"), prose("b")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty = a + " " + item
+    docs = rows_of(spark, (1, dirty), (1, a), (None, dirty), (None, b), (3, dirty), (3, dirty), (4, b), (4, b), (5, None))
+    assert kept(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted_rows((1, a), (None, b), (4, b), (4, b), (5, None))
+
+
+def test_toxicity_judges_each_row(spark, tmp_path):
+    from lexispark.llm import toxicity as tox
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    a, dirty = prose("a"), " ".join(tox.SEED_WORDS)
+    docs = rows_of(spark, (1, dirty), (1, a), (None, dirty), (None, a), (3, dirty), (3, dirty), (4, a), (4, a), (5, None))
+    assert kept(corpus_pipeline.toxicity(spark, docs, str(tmp_path))) == sorted_rows((1, a), (None, a), (4, a), (4, a), (5, None))
+
+
+def test_line_dedup_of_repeated_rows_ids_and_nulls(spark, tmp_path):
+    a, b, c = (prose(k, 8) for k in "abc")
+    docs = rows_of(spark, (1, a), (1, a), (1, a + "\n" + b), (None, b + "\n" + c), (2, c))
+    got = kept(corpus_pipeline.line_dedup(spark, docs, str(tmp_path)))
+    # A line stays with the first document that has it, ids first; two equal rows are one document and stay or go together.
+    assert sorted(l for _, t in {x for x in got} for l in t.split("\n")) == sorted([a, b, c])
+    assert got.count((1, a)) in (0, 2) and (2, c) in got and not any(d is None for d, _ in got)
+
+
+def test_mix_draws_rows_of_one_id_apart(spark, tmp_path):
+    docs = rows_of(spark, *[(k % 3 if k % 4 else None, prose(k)) for k in range(40)])
+    out = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    assert len(out) == 40 and all(r.copies == 1 for r in out)
