@@ -204,26 +204,6 @@ def linked(ids: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]
     return edges
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in sorted batches, as tables; only one run is held at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.asarray(batch.column(k)) for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
@@ -337,7 +317,7 @@ def compare(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
-        for group in _groups(batches, ["comp", "i", "j"]):
+        for group in common.groups(batches, ["comp", "i", "j"]):
             out.append(one(group))
             if len(out) >= 2000:
                 yield rows(*map(np.concatenate, zip(*out, strict=True)))
@@ -414,17 +394,17 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     signed, known = _classes(docs, threshold)
     placed = signed.select("doc_id", "h", F.col("set_id").alias("id")).join(known.select("id", "first"), "id")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    placed = common.materialize(placed.select("doc_id", "h", stays.alias("stays")), "class-firsts")
-    kept = common.without_rows(docs, placed.filter("NOT stays"))
-    repeated = placed.filter("stays").groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h")
+    placed = common.materialize(placed.groupBy("doc_id", "h").agg(F.first(stays).alias("stays"), F.count("*").alias("n")), "class-firsts")
+    repeated = placed.filter("stays AND n > 1").select("doc_id", "h")
     few = repeated.count()
     if not few:
-        return kept
-    again = common.broadcast_if_small(repeated.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), few, MOST_BROADCAST)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    place = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.xxhash64(*docs.columns)))
-    one = kept.join(again, same).withColumn("_place", place).filter("_place = 1").drop("_place", "_d", "_h")
-    return common.without_rows(kept, repeated).unionByName(one)
+        return common.without_rows(docs, placed.filter("NOT stays"))
+    again = common.broadcast_if_small(repeated.select(F.struct("doc_id", "h").alias("key")), few, MOST_BROADCAST)
+    named = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("key"))
+    # Equal rows are one, and of the others the one with the smallest hash of its columns; the window cuts before it shuffles.
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.to_json("row")), F.to_json("row")))
+    one = named.join(again, "key").withColumn("place", place).filter("place = 1").select("row.*")
+    return common.without_rows(docs, placed.filter("NOT stays OR n > 1")).unionByName(one)
 
 
 QUERY = "op8_near_duplicates"

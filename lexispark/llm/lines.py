@@ -91,15 +91,21 @@ def _near_dropped(candidates: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> DataFrame:
-    """The rows of ``docs`` with repeated lines taken out of ``text``, and n_lines, n_dropped, emptied beside it.
+    """The rows of ``docs`` with repeated lines taken out of ``text``, and n_lines, n_dropped, emptied beside them.
 
     Lines end at line feeds.  Of lines that are the same (see above) the earliest stays, by doc_id (nulls last), then a
     hash of the text, then line number; a line goes if any earlier one is within one edit of it.  Blank lines are never
     counted, compared or dropped.  ``emptied`` tells that a document had lines and lost all.  A null text stays null,
     with n_lines 0.  Rows repeated with the same doc_id and text count as one document and come out alike.  Other
-    columns pass through, whatever their names.  An empty table gives an empty result.
+    columns pass through; where the table has a column n_lines, n_dropped or emptied, its own stays and the one made here
+    is named lines_n_lines and so on.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    out = deduped(docs, min_fuzzy_chars)
+    return common.beside(out, "lines", n_lines=F.col("n_lines"), n_dropped=F.col("n_dropped"), emptied=F.col("emptied"))
+
+
+def deduped(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> DataFrame:
+    """As ``dedup_lines``, with each row of ``docs`` as a struct: row, n_lines, n_dropped, emptied."""
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.split(F.col("text"), "\n").alias("ls"))
     lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split(F.col("text"), "\n")).alias("l", "line")).filter(~_blank(F.col("line"))).withColumn("x", normal_line("line"))
     order = F.struct(F.col("d").isNull().alias("n"), F.coalesce("d", F.lit(0)).alias("d"), "h", "l")
@@ -126,8 +132,7 @@ def dedup_lines(docs: DataFrame, min_fuzzy_chars: int = MIN_FUZZY_CHARS) -> Data
     stay = F.array_sort(F.concat(kept_or_none, blank))
     n_lines = F.coalesce(F.size("ls") - F.size(blank), F.lit(0))
     out = out.withColumns({"_n": F.when(F.col("ls").isNull(), 0).otherwise(n_lines), "_k": F.size(kept_or_none), "_text": F.array_join(F.transform(stay, lambda i: F.element_at("ls", i + 1)), "\n")})
-    row = F.col("row").withField("text", F.col("_text")).withField("n_lines", F.col("_n").cast("long")).withField("n_dropped", (F.col("_n") - F.col("_k")).cast("long")).withField("emptied", (F.col("_n") > 0) & (F.col("_k") == 0))
-    return out.select(row.alias("row")).select("row.*")
+    return out.select(F.col("row").withField("text", F.col("_text")).alias("row"), F.col("_n").cast("long").alias("n_lines"), (F.col("_n") - F.col("_k")).cast("long").alias("n_dropped"), ((F.col("_n") > 0) & (F.col("_k") == 0)).alias("emptied"))
 
 
 QUERY = "op9_dedup_lines"

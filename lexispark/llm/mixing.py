@@ -108,16 +108,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES) -> DataFrame:
     """The documents that the mix of ``mix_sources`` takes, with their columns and size, source_size, target, copies, taken.
 
-    The texts are read twice and filtered in place; they are not shuffled.
+    Where a table has a column of such a name, its own stays and the mix's is named mix_size and so on.  The texts are
+    read twice and filtered in place; they are not shuffled.
     """
     named = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), common.space_words(F.col("text")).alias("size"), document_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
     plan, few = mix_plan(common.materialize(named.select("source", "size", "key"), "mix"), weights, share, most)
     out = named.join(common.broadcast_if_small(plan, few, MOST_SOURCES_BROADCAST), F.col("source").eqNullSafe(F.col("_s")))
     out = out.withColumn("copies", F.least(F.col("_whole") + (F.col("key") < F.col("_below")).cast("int"), F.lit(most))).filter("copies > 0")
-    row = F.col("row")
-    for name, value in (("size", F.col("size")), ("source_size", F.col("source_size")), ("target", F.col("target")), ("copies", F.col("copies")), ("taken", F.col("size") * F.col("copies"))):
-        row = row.withField(name, value)
-    return out.select(row.alias("row")).select("row.*")
+    return common.beside(out, "mix", size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=F.col("copies"), taken=F.col("size") * F.col("copies"))
 
 
 QUERY = "op4_mix_sources"
