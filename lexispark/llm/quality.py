@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import common
-from .toxicity import bounded_sample, held_out, one_label
+from .labels import held_out, labelled_sample
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 #: Positions of a block; a chunk is two neighbouring blocks, so chunks overlap by half.
 BLOCK = 128
-#: At most about so many labelled rows of each class, drawn by a hash of doc_id, train the network.
-MOST_LABELLED = 1_500
+#: At most about so many labelled rows and bytes of each class, drawn by a hash, train the network.
+MOST_LABELLED, MOST_BYTES = 1_500, 16 << 20
 STEPS, BATCH, RATE, DECAY, SEED = 700, 32, 0.01, 1e-5, 17
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
@@ -162,15 +162,10 @@ class Constant:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
-    """From labelled rows outside the held-out fold, at most about ``most`` of each class."""
-    taught = one_label(labels, "quality").filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
-    taught = common.materialize(taught, "quality-labels")
-    n, n_good = taught.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not n_good or n_good == n:
-        return Constant((n_good + 1) / (n + 2))
-    drawn = bounded_sample(taught.filter("y = 0"), most).unionByName(bounded_sample(taught.filter("y = 1"), most))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("t"))
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "t").toArrow().sort_by("doc_id")
+    """From a bounded sample of the labelled rows outside the held-out fold."""
+    sample, sizes = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, most, MOST_BYTES)
+    n, n_good = sum(sizes.values()), sizes.get(1, 0)
+    rows = sample.select("doc_id", "y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t")).toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
     good = rows.column("y").to_numpy().astype(np.float64)
     if not len(good) or good.min() == good.max():
         return Constant((n_good + 1) / (n + 2))
