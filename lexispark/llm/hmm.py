@@ -5,13 +5,15 @@ its share of that class, which does not depend on the state.  So a text's likeli
 by the scaled forward recursion over the whole text, times the shares of its rarer words, and the model is a proper
 distribution over the whole vocabulary and one unknown word per class, however large the vocabulary grows.
 
-Baum-Welch runs over all training documents: each task sums the expected counts of its part, in segments, and the sums by
-class are added up across partitions.  A bounded sample only gives the first guess.
+Baum-Welch runs over all training documents: each task sums the expected counts of its part and the sums by class are added
+up across partitions.  Long documents are worked through in segments, with the forward and backward messages carried over
+every cut, so the counts are those of the whole sequence.  A bounded sample of segments only gives the first guess.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,17 @@ from pyspark.sql import functions as F
 from . import common
 
 STATES = 8
-#: Words with an emission of their own, and words whose counts are broadcast (16 bytes each); all others are joined.
+#: Words with an emission of their own, and words, the most frequent of all documents, whose counts are broadcast (16 bytes
+#: each); all others are joined.
 OWN_WORDS, BROADCAST_WORDS = 16_384, 262_144
 CLASS_BITS = 10
 CLASSES = 1 << CLASS_BITS
-#: Baum-Welch passes over all training documents; segments of at most so many tokens.
-PASSES, SEGMENT = 3, 256
-#: Documents and passes of the first guess.
-GUESS_DOCS, GUESS_PASSES, SEED = 600, 20, 3
+#: Baum-Welch passes over all training documents; tokens of a segment, and of the segments that are worked on at a time.
+PASSES, SEGMENT, AT_A_TIME = 3, 1024, 1 << 18
+#: Segments of the first guess, about so many drawn by a hash, their tokens, and its passes.
+GUESS_SEGMENTS, GUESS_TOKENS, GUESS_PASSES, SEED = 1600, 256, 20, 3
+#: A task of a pass takes about so many tokens.
+TASK_TOKENS = 4 << 20
 SMOOTH_EMISSION, SMOOTH_MOVE = 20.0, 1.0
 FOLDS, HELD_OUT = 7, 2
 _COLUMNS = [f"v{i}" for i in range(STATES)]
@@ -56,30 +61,33 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, held_out) -> (id, c, n): how often each word occurs in the training rows, and in all, of a batch."""
     for batch in batches:
-        ids, n = np.unique(_lists(batch.column("t"))[0], return_counts=True)
-        yield pa.RecordBatch.from_pydict({"id": ids, "c": n})
+        tokens, offsets = _lists(batch.column("t"))
+        taught = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(offsets))
+        ids, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"id": ids, "c": np.bincount(at[taught], minlength=len(ids)).astype(np.int64), "n": n})
 
 
-def at_least(counts: DataFrame, most: int) -> int:
+def at_least(counts: DataFrame, column: str, most: int) -> int:
     """The smallest count such that at most ``most`` words reach it, on a scale of eighths of powers of two."""
-    bucket = F.floor(F.log2("c") * 8).cast("int")
+    bucket = F.floor(F.log2(column) * 8).cast("int")
     held, least = 0, math.inf
-    for r in sorted(counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.b):
-        held += r.n
+    for r in sorted(counts.filter(F.col(column) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("words"), F.min(column).alias("least")).collect(), key=lambda r: -r.b):
+        held += r.words
         if held > most:
             break
-        least = r.c
+        least = r.least
     return int(least) if least < math.inf else 1 << 62
 
 
 class Vocabulary:
-    """Known words in order of id: log10(c + 1), emission class and log10 of the share within it."""
+    """Frequent words in order of id: log10(c + 1), emission class and log10 of the share within it; c may be 0."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, own_from: int, class_tokens: np.ndarray, class_words: np.ndarray, total: int, distinct: int):
         order = np.argsort(ids)
         self.ids, c = ids[order], counts[order]
-        self.gain = np.log10(c + 1.0)
+        self.gain, self.known = np.log10(c + 1.0), c > 0
         own = c >= own_from
         self.log_class = -np.log10(class_tokens + class_words + 1.0)
         low = (self.ids & (CLASSES - 1)).astype(np.int64)
@@ -90,17 +98,18 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
 
     def encode(self, ids: np.ndarray, offsets: np.ndarray):
-        """Per document: tokens known here, sums of their gains and of shares; classes; where the others are."""
+        """Per document: tokens known from training, sums of their gains and of shares; classes; where the words are that are not here."""
         at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
         low = (ids & (CLASSES - 1)).astype(np.int64)
         if len(self.ids):
             hit = self.ids[at] == ids
             cls = np.where(hit, self.cls[at], low).astype(np.uint16)
             gain, share = np.where(hit, self.gain[at], 0.0), np.where(hit, self.share[at], self.log_class[low])
+            known = hit & self.known[at]
         else:
-            hit, cls, gain, share = np.zeros(len(ids), bool), low.astype(np.uint16), np.zeros(len(ids)), self.log_class[low]
+            hit, known, cls, gain, share = np.zeros(len(ids), bool), np.zeros(len(ids), bool), low.astype(np.uint16), np.zeros(len(ids)), self.log_class[low]
         first = offsets[:-1]
-        sums = [np.add.reduceat(x, first) if len(first) else x[:0] for x in (hit.astype(np.int64), gain, share)]
+        sums = [np.add.reduceat(x, first) if len(first) else x[:0] for x in (known.astype(np.int64), gain, share)]
         return (*sums, cls, ~hit)
 
 
@@ -114,7 +123,6 @@ class Model:
         self.emit /= self.emit.sum(axis=0)
         self.move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
         self.start = np.full(STATES, 1.0 / STATES)
-        self.usual = self.start
 
     def update(self, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
         """The M step, with the unigram distribution and uniform moves as priors."""
@@ -122,36 +130,83 @@ class Model:
         self.emit = (emitted + SMOOTH_EMISSION * self.prior[:, None]) / (use + SMOOTH_EMISSION)
         self.move = (moved + SMOOTH_MOVE) / (moved.sum(axis=1, keepdims=True) + SMOOTH_MOVE * STATES)
         self.start = (started + SMOOTH_MOVE) / (started.sum() + SMOOTH_MOVE * STATES)
-        self.usual = (use + 1.0) / (use.sum() + STATES)
 
-    def expected(self, cls: np.ndarray, first: np.ndarray, length: np.ndarray, begins: np.ndarray):
-        """(emitted, moved, started) of segments by the scaled forward-backward recursions."""
+    def transfers(self, cls: np.ndarray, first: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """For each of some segments the matrix, up to a factor, from the states before it to those at its last token.
+
+        A segment that begins a document goes from the states at its first token instead.
+        """
+        order = np.argsort(-length, kind="stable")
+        first, size, begins = first[order], length[order], begins[order]
+        whole = np.broadcast_to(np.eye(STATES), (len(size), STATES, STATES)).copy()
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, side="left"))
+            moved = whole[:n] @ self.move if t else np.where(begins[:, None, None], whole, self.move)
+            step = moved * self.emit[cls[first[:n] + t]][:, None, :]
+            whole[:n] = step / step.sum(axis=(1, 2), keepdims=True)
+        out = np.empty_like(whole)
+        out[order] = whole
+        return out
+
+    def messages(self, cls: np.ndarray, first: np.ndarray, length: np.ndarray, begins: np.ndarray):
+        """(before, after) of every segment, in order of documents: what the rest of its document says about its states.
+
+        ``before`` is the distribution of the states at the token before it (of its own first token where it begins a
+        document), ``after`` the likelihood of what follows, up to a factor, by the state at its last token.
+        """
+        before, after = np.tile(self.start, (len(first), 1)), np.ones((len(first), STATES))
+        parts = np.flatnonzero(~(begins & np.append(begins[1:], True)))
+        if len(parts):
+            steps = self.transfers(cls, first[parts], length[parts], begins[parts])
+            a = None
+            for k, i in enumerate(parts):
+                if begins[i]:
+                    a = self.start
+                before[i] = a
+                a = a @ steps[k]
+                a = a / a.sum()
+            b = None
+            for k, i in zip(range(len(parts) - 1, -1, -1), parts[::-1], strict=True):
+                if i + 1 == len(begins) or begins[i + 1]:
+                    b = np.ones(STATES)
+                after[i] = b
+                if not begins[i]:
+                    b = steps[k] @ b
+                    b = b / b.sum()
+        return before, after
+
+    def expected(self, cls: np.ndarray, first: np.ndarray, length: np.ndarray, begins: np.ndarray, before: np.ndarray, after: np.ndarray):
+        """(emitted, moved, started) of segments by the scaled forward-backward recursions, given the messages from outside."""
         order = np.argsort(-length, kind="stable")
-        first, length, begins = first[order], length[order], begins[order]
+        first, length, begins, before, after = first[order], length[order], begins[order], before[order], after[order]
         steps = int(length[0])
         active = np.searchsorted(-length, -np.arange(steps), side="left")
         alphas, scales, emits = [], [], []
         for t in range(steps):
             n = active[t]
             e = self.emit[cls[first[:n] + t]]
-            a = (np.where(begins[:, None], self.start, self.usual) if t == 0 else alphas[-1][:n] @ self.move) * e
+            a = (np.where(begins[:, None], before, before @ self.move) if t == 0 else alphas[-1][:n] @ self.move) * e
             s = a.sum(axis=1, keepdims=True)
             alphas.append(a / s)
             scales.append(s)
             emits.append(e)
         moved, gammas, at = np.zeros((STATES, STATES)), [], []
-        beta = np.ones((active[-1], STATES))
+        last = lambda t, a, b: after[a:b] / (alphas[t][a:b] * after[a:b]).sum(axis=1, keepdims=True)
+        beta = last(steps - 1, 0, active[-1])
         for t in range(steps - 1, -1, -1):
             n = active[t]
             if t < steps - 1:
                 k = active[t + 1]
                 back = emits[t + 1] * beta / scales[t + 1]
                 moved += alphas[t][:k].T @ back
-                beta = np.concatenate([back @ self.move.T, np.ones((n - k, STATES))])
+                beta = np.concatenate([back @ self.move.T, last(t, k, n)])
             gamma = alphas[t] * beta
             gammas.append(gamma)
             at.append(cls[first[:n] + t])
         started = gammas[-1][begins].sum(axis=0)
+        # The move over the cut before a segment.
+        inner = ~begins
+        moved += before[inner].T @ (emits[0] * beta / scales[0])[inner]
         gamma, at = np.concatenate(gammas), np.concatenate(at)
         emitted = np.stack([np.bincount(at, gamma[:, s], len(self.emit)) for s in range(STATES)], axis=1)
         return emitted, moved * self.move, started
@@ -190,14 +245,16 @@ def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint16), np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]).astype(np.int64)
 
 
-def _sum_counts(model: Model, cls: np.ndarray, offsets: np.ndarray, at_a_time: int = 2048):
-    first, length, begins = segments(offsets)
-    # Segments of like lengths are taken together.
+def _sum_counts(model: Model, cls: np.ndarray, offsets: np.ndarray, size: int | None = None):
+    """The expected counts of whole documents."""
+    first, length, begins = segments(offsets, size or SEGMENT)
+    before, after = model.messages(cls, first, length, begins)
+    # Segments of like lengths are taken together, so many that their messages stay small.
     order = np.argsort(-length, kind="stable")
+    part = np.cumsum(length[order]) // AT_A_TIME
     emitted, moved, started = np.zeros((len(model.emit), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-    for k in range(0, len(order), at_a_time):
-        pick = order[k : k + at_a_time]
-        e, m, s = model.expected(cls, first[pick], length[pick], begins[pick])
+    for pick in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []:
+        e, m, s = model.expected(cls, first[pick], length[pick], begins[pick], before[pick], after[pick])
         emitted, moved, started = emitted + e, moved + m, started + s
     return emitted, moved, started
 
@@ -221,19 +278,33 @@ def expected_counts(model: Model):
     return run
 
 
+def _drawn_segments(share: float):
+    """(rid, classes) -> classes of the segments that a hash of document and place draws; each is a document of the first guess."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for rid, raw in zip(batch.column("rid").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                for k in range(0, max(len(raw), 1), 2 * GUESS_TOKENS):
+                    if zlib.crc32(f"{rid}/{k}".encode()) < share * 2**32:
+                        found.append(raw[k : k + 2 * GUESS_TOKENS])
+            yield pa.RecordBatch.from_pydict({"classes": pa.array(found, pa.binary())})
+
+    return run
+
+
 def train(encoded: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Model:
     model = Model(vocabulary.n_classes, vocabulary.class_tokens)
     taught = encoded.filter("NOT held_out").select("classes", "rid", "n_tokens")
-    n = taught.count()
+    n, n_segments, n_tokens = taught.agg(F.count("*"), F.sum(F.ceil(F.col("n_tokens") / GUESS_TOKENS)), F.sum("n_tokens")).first()
     if not n:
         return model
-    share = min(1.0, GUESS_DOCS / n)
-    drawn = taught.filter(F.pmod(F.xxhash64(F.lit("guess"), "rid"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).filter(F.col("n_tokens") <= 5000).orderBy("rid").select("classes").toArrow()
+    drawn = taught.select("rid", "classes").mapInArrow(_drawn_segments(min(1.0, GUESS_SEGMENTS / n_segments)), "classes binary").orderBy("classes").toArrow()
     if drawn.num_rows:
         cls, offsets = _classes(drawn.column("classes"))
         for _ in range(GUESS_PASSES):
             model.update(*_sum_counts(model, cls, offsets))
-    tasks = max(common.shuffle_partitions(taught.sparkSession) // 2, common.cores(taught.sparkSession))
+    tasks = max(n_tokens // TASK_TOKENS, common.cores(taught.sparkSession))
     for _ in range(passes):
         sums = taught.select("classes").coalesce(tasks).mapInArrow(expected_counts(model), "key long, " + ", ".join(f"{c} double" for c in _COLUMNS)).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COLUMNS]).toPandas()
         values = sums[_COLUMNS].to_numpy()
@@ -256,12 +327,13 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     empty table gives an empty result; without training rows every word is unknown.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), token_ids(F.col("text").cast("string")).alias("t"))
-    counts = rows.filter("NOT held_out").select("t").mapInArrow(_count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    counts = rows.select("t", "held_out").mapInArrow(_count, "id long, c long, n long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     counts = common.materialize(counts, "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    own_from, shared_from = at_least(counts, OWN_WORDS), at_least(counts, BROADCAST_WORDS)
-    known = counts.filter(F.col("c") >= shared_from).toArrow()
-    tail = counts.filter(F.col("c") < own_from).groupBy(F.col("id").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    # What is frequent in any rows is broadcast, so no word that is joined is frequent.
+    own_from, shared_from = at_least(counts, "c", OWN_WORDS), at_least(counts, "n", BROADCAST_WORDS)
+    known = counts.filter((F.col("n") >= shared_from) | (F.col("c") >= own_from)).toArrow()
+    tail = counts.filter((F.col("c") < own_from) & (F.col("c") > 0)).groupBy(F.col("id").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in tail:
         class_tokens[r.k], class_words[r.k] = r.c, r.n
@@ -293,7 +365,7 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
 
     plain = encoded.select("rid", "doc_id", "held_out", "n_tokens", "hits", "gain", "share", "classes")
     scored = plain.mapInArrow(forward, "rid long, doc_id long, held_out boolean, n_tokens long, hits long, gain double, share double, path double")
-    rare = encoded.select("rid", F.explode("rare").alias("id")).join(counts.filter(F.col("c") < shared_from), "id").groupBy(F.col("rid").alias("r")).agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("k"))
+    rare = encoded.select("rid", F.explode("rare").alias("id")).join(counts.filter((F.col("n") < shared_from) & (F.col("c") < own_from) & (F.col("c") > 0)), "id").groupBy(F.col("rid").alias("r")).agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("k"))
     out = scored.join(rare, F.col("rid") == F.col("r"), "left")
     more = F.coalesce("more", F.lit(0.0))
     per_token = math.log10(total + distinct + 1)
