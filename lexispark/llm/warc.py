@@ -1,13 +1,16 @@
 """WARC archives: records with revisits for repeated payloads, written to shared storage and read back sequentially.
 
 Each record is a gzip member of its own.  The reader goes through an archive once, in bounded chunks: it inflates with an
-incremental zlib stream, frames records by Content-Length and verifies block and payload digests.
+incremental zlib stream, frames records by Content-Length and verifies the digests that a record carries.  It reads
+WARC/1.0 and WARC/1.1 of any writer, plain or gzipped, with records of every type; a revisit is resolved by the record id
+that it refers to.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,10 +28,14 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
 LEVEL = 6
-#: Fixed values of the WARC 1.1 format.
-VERSION = b"WARC/1.1"
+#: A record's header lines may take so many bytes.
+MOST_HEADER_BYTES = 1 << 20
+#: Repeated payloads (60 bytes each) that are broadcast to the pages; more are joined by shuffle.
+MOST_DIGESTS_BROADCAST = 500_000
+#: Fixed values of the WARC format.
+VERSION, VERSIONS = b"WARC/1.1", ("WARC/1.0", "WARC/1.1")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD_SCHEMA = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to_id string, refers_to long, payload binary"
 
 
 def record_uri(page_id: int | None, digest: str) -> str:
@@ -52,14 +59,14 @@ def make_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     head = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_uri(page_id, digest)), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{_base32(digest)}"), ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"),
-        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))), ("X-Payload-Length", str(len(payload))),
+        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if url is not None:
         head.append(("WARC-Target-URI", _header(url)))
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_uri(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_uri(refers_to, digest))]
     text = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n"
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(text + block + b"\r\n\r\n") + packer.flush()
@@ -69,74 +76,160 @@ class Damaged(ValueError):
     """An archive that breaks off or whose lengths or digests do not fit its contents."""
 
 
-def read_records(stream, name: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
+def inflated(stream, name: str) -> Iterator[bytes]:
+    """The contents of a file object in bounded pieces: those of its gzip members one after the other, or as they are."""
+    raw = stream.read(CHUNK)
+    if raw[:2] != b"\x1f\x8b":
+        while raw:
+            yield raw
+            raw = stream.read(CHUNK)
+        return
+    try:
+        while raw:
+            inflater = zlib.decompressobj(31)
+            while not inflater.eof:
+                raw = raw or stream.read(CHUNK)
+                if not raw:
+                    raise Damaged(f"{name} ends within a record")
+                piece = inflater.decompress(raw, CHUNK)
+                raw = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+                if piece:
+                    yield piece
+            raw = raw or stream.read(CHUNK)
+    except zlib.error as e:
+        raise Damaged(f"{name}: {e}") from e
+
+
+class Headers(dict):
+    """Header fields by lower-case name; the first of a name counts."""
+
+    @classmethod
+    def of(cls, lines: list[str]) -> Headers:
+        found, last = cls(), None
+        for line in lines:
+            if line[:1] in " \t" and last:
+                found[last] += " " + line.strip()
+                continue
+            field, colon, value = line.partition(":")
+            last = field.strip().lower() if colon else None
+            if last and last not in found:
+                found[last] = value.strip()
+            elif last:
+                last = None
+        return found
+
+    def get(self, field: str, default: str | None = None) -> str | None:
+        return super().get(field.lower(), default)
+
+
+def read_records(stream, name: str = "archive") -> Iterator[tuple[Headers, bytes]]:
     """(headers, block) of each record of a file object, in order; at most one record and one chunk are held."""
-    raw, inflater, plain = b"", zlib.decompressobj(31), bytearray()
+    pieces, plain = inflated(stream, name), bytearray()
 
     def more() -> bool:
-        """Inflates some more of the current member; False at its end."""
-        nonlocal raw
-        while not inflater.eof:
-            raw = raw or stream.read(CHUNK)
-            if not raw:
-                raise Damaged(f"{name} ends within a record")
-            got = inflater.decompress(raw, CHUNK)
-            raw = inflater.unconsumed_tail or (inflater.unused_data if inflater.eof else b"")
-            if got:
-                plain.extend(got)
-                return True
-        return False
-
-    while True:
-        raw = raw or stream.read(CHUNK)
-        if not raw:
-            return
-        try:
-            while (end := plain.find(b"\r\n\r\n")) < 0:
-                if not more():
-                    raise Damaged(f"{name} has a record without headers")
-            lines = bytes(plain[:end]).decode().split("\r\n")
-            if lines[0].encode() != VERSION:
-                raise Damaged(f"{name} has {lines[0][:20]!r} for a version")
-            head = dict(x.split(": ", 1) for x in lines[1:])
-            n = int(head["Content-Length"])
-            del plain[: end + 4]
-            while len(plain) < n + 4:
-                if not more():
-                    raise Damaged(f"{name} has a record shorter than its Content-Length")
-            block, tail = bytes(plain[:n]), bytes(plain[n:])
-            while more():
-                tail += bytes(plain[len(tail) + n :])
-        except zlib.error as e:
-            raise Damaged(f"{name}: {e}") from e
+        piece = next(pieces, b"")
+        plain.extend(piece)
+        return bool(piece)
+
+    while plain or more():
+        start = 0
+        while (end := plain.find(b"\r\n\r\n", start)) < 0:
+            start = max(0, len(plain) - 3)
+            if len(plain) > MOST_HEADER_BYTES or not more():
+                raise Damaged(f"{name} has a record without end of headers")
+        lines = bytes(plain[:end]).decode("utf-8", "replace").split("\r\n")
+        if lines[0].strip() not in VERSIONS:
+            raise Damaged(f"{name} has {lines[0][:20]!r} for a version")
+        head = Headers.of(lines[1:])
+        length = head.get("Content-Length", "")
+        if not length.isdigit():
+            raise Damaged(f"{name} has a record without Content-Length")
+        n = int(length)
+        del plain[: end + 4]
+        while len(plain) < n + 4:
+            if not more():
+                raise Damaged(f"{name} has a record shorter than its Content-Length")
+        block, tail = bytes(plain[:n]), bytes(plain[n : n + 4])
         if tail != b"\r\n\r\n":
             raise Damaged(f"{name} has a record longer than its Content-Length")
-        if head["WARC-Block-Digest"] != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}":
+        del plain[: n + 4]
+        if not fits(head.get("WARC-Block-Digest"), block):
             raise Damaged(f"{name} has a block that does not fit its digest")
         yield head, block
-        inflater, plain = zlib.decompressobj(31), bytearray()
 
 
-def parse_record(head: dict[str, str], block: bytes, name: str = "archive") -> tuple:
-    """A row of RECORD_SCHEMA; the payload of a response is verified, that of a revisit is null."""
-    digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    payload = None
-    if head["WARC-Type"] == "response":
-        payload = block[block.index(b"\r\n\r\n") + 4 :]
-        if hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(head["X-Payload-Length"]):
+def digest_bytes(value: str | None) -> tuple[str, bytes] | None:
+    """``algorithm:digest`` in base32 or hexadecimal -> both, if the algorithm is known; the length tells which it is."""
+    algorithm, _, text = (value or "").partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(algorithm).digest_size
+    text = text.strip()
+    try:
+        found = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper().rstrip("=") + "=" * (-len(text.rstrip("=")) % 8))
+    except ValueError:
+        return algorithm, b""
+    return algorithm, found
+
+
+def fits(value: str | None, data: bytes) -> bool:
+    """Whether data has this digest; an absent one, or one of an unknown algorithm, says nothing."""
+    told = digest_bytes(value)
+    return told is None or hashlib.new(told[0], data).digest() == told[1]
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The entity of an HTTP body in chunks; None if it is not one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            n = int(body[at:end].partition(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            n = -1
+        if n < 0 or len(body) < end + 2 + n:
+            return None
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def parse_record(head: Headers, block: bytes, name: str = "archive") -> tuple:
+    """A row of RECORD_SCHEMA; what a revisit does not hold itself is null: its payload, and ``refers_to``.
+
+    The payload is the entity of an HTTP message, else the whole block.  If a record has a payload digest, the payload
+    is verified.
+    """
+    kind, told = head.get("WARC-Type", ""), digest_bytes(head.get("WARC-Payload-Digest"))
+    payload, size, digest = None, None, told[1].hex() if told and told[0] == "sha1" else None
+    http = head.get("Content-Type", "").lower().startswith("application/http")
+    top, blank, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    fields = Headers.of(top.decode("latin-1").split("\r\n")[1:])
+    if kind == "revisit":
+        size = int(length) if (length := fields.get("Content-Length", "")).isdigit() else None
+    else:
+        payload = body if blank or not http else b""
+        if "chunked" in fields.get("Transfer-Encoding", "").lower() and (entity := _unchunked(payload)) is not None and not fits(head.get("WARC-Payload-Digest"), payload):
+            payload = entity
+        if not fits(head.get("WARC-Payload-Digest"), payload):
             raise Damaged(f"{name} has a payload that does not fit its digest")
-    number = lambda k: int(head[k]) if k in head else None
-    return number("X-Page-Id"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Payload-Length"), digest, number("X-Refers-To-Page-Id"), payload
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    page = head.get("X-Page-Id", "")
+    page = int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) else None
+    return head.get("WARC-Record-ID"), page, head.get("WARC-Target-URI"), kind, size, digest, head.get("WARC-Refers-To"), None, payload
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, digest, refers_to: null for what is stored whole."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     digests = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
-    last = digests.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_last"), F.count("*").alias("_rows")).filter("_rows > 1").drop("_rows")
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    long = F.octet_length("payload") >= min_bytes
-    marked = rows.join(last, long & (F.col("digest") == F.col("_digest")), "left")
+    last = digests.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_last"), F.count("*").alias("_rows")).filter("_rows > 1 AND _last IS NOT NULL").drop("_rows")
+    last = common.materialize(last, "repeated-payloads")
+    rows = rows.withColumns({"digest": F.sha1("payload"), "_long": F.octet_length("payload") >= min_bytes})
+    # Payloads stay where they are read unless very many are repeated.
+    marked = rows.join(common.broadcast_if_small(last, last.count(), MOST_DIGESTS_BROADCAST), F.when(F.col("_long"), F.col("digest")) == F.col("_digest"), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")), F.col("_last"))
     return marked.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -176,31 +269,42 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Rows of RECORD_SCHEMA from the listed archives; a damaged archive is an error.  Payloads are null unless asked for."""
+    """Rows of RECORD_SCHEMA of all records of the listed archives; a damaged archive is an error.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, root = fs.FileSystem.from_uri(folder)
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-
-        def frame(rows):
-            made = pd.DataFrame(rows, columns=names)
-            return made.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-        for listed in frames:
-            for archive in listed["archive"]:
-                rows, held = [], 0
-                with place.open_input_stream(f"{root}/{archive}") as stream:
-                    for head, block in read_records(stream, archive):
-                        row = parse_record(head, block, archive)
-                        rows.append(row if payloads else (*row[:-1], None))
-                        held += len(block) if payloads else 1
-                        if held > (16 << 20 if payloads else 20_000):
-                            yield frame(rows)
-                            rows, held = [], 0
-                yield frame(rows)
-
-    n = max(1, min(archives.count(), 100_000))
-    return archives.select("archive").repartition(n).mapInPandas(read, RECORD_SCHEMA)
+    A revisit has the payload's size and digest, and the page_id, of the record in these archives that it refers to;
+    refers_to is null where there is none.  Payloads are null unless asked for.
+    """
+    names = RECORD_SCHEMA.replace(" string", "").replace(" long", "").replace(" binary", "").split(", ")
+
+    def read(want: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place, root = fs.FileSystem.from_uri(folder)
+
+            def frame(rows):
+                return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+
+            for listed in frames:
+                for archive in listed["archive"]:
+                    rows, held = [], 0
+                    with place.open_input_stream(f"{root}/{archive}", compression=None) as stream:
+                        for head, block in read_records(stream, archive):
+                            row = parse_record(head, block, archive)
+                            rows.append(row if want else (*row[:-1], None))
+                            held += len(block) if want else 1
+                            if held > (16 << 20 if want else 20_000):
+                                yield frame(rows)
+                                rows, held = [], 0
+                    yield frame(rows)
+
+        return run
+
+    listed = archives.select("archive").repartition(max(1, min(archives.count(), 100_000)))
+    known = common.materialize(listed.mapInPandas(read(False), RECORD_SCHEMA), "records")
+    rows = listed.mapInPandas(read(True), RECORD_SCHEMA) if payloads else known
+    target = known.filter("record_id IS NOT NULL AND record_type <> 'revisit'").groupBy(F.col("record_id").alias("_id")).agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes"), F.min("payload_digest").alias("_digest"))
+    refers = (F.col("record_type") == "revisit") & F.col("refers_to_id").isNotNull()
+    found = rows.filter(refers).join(target, F.col("refers_to_id") == F.col("_id"), "left").withColumns({"refers_to": F.col("_page"), "payload_bytes": F.coalesce("_bytes", "payload_bytes"), "payload_digest": F.coalesce("payload_digest", "_digest")}).select(*names)
+    return rows.filter(~F.coalesce(refers, F.lit(False))).unionByName(found)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
@@ -208,7 +312,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, payloads: bool =
 
     The payload is the html in UTF-8, empty for null.  Of rows with equal payloads of at least MIN_REVISIT_BYTES bytes
     the one with the largest page_id is a response, the others are revisits that refer to it; if that page_id is
-    repeated, all its rows are responses, and if all are null, every row is one.  A null page_id or url leaves its header
+    repeated, all its rows are responses (of which others refer to one), and if all are null, every row is one.  A null page_id or url leaves its header
     out and comes back as null.  Other columns are not looked at.  An empty table gives an empty result.  ``folder``
     defaults to one in the shared folder.
     """
