@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexispark.llm import common
 from lexispark.llm.decontam import drop_contaminated
 from lexispark.llm.jaccard import one_of_each_class
-from lexispark.llm.lines import dedup_lines
+from lexispark.llm.lines import deduped
 from lexispark.llm.mixing import mixed_documents
 from lexispark.llm.toxicity import drop_toxic
 
@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of the same doc_id and text are one document here and stay or go together; the next stage keeps one of them.
     """
-    return dedup_lines(docs).filter("NOT emptied").drop("n_lines", "n_dropped", "emptied").withColumn("n_chars", F.length("text").cast("long"))
+    kept = deduped(docs).filter("NOT emptied").select("row.*")
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    first = common.written()
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        # What this stage and the one before it left in the shared folder is no longer read.
+        common.remove_scratch(spark, first, common.written() - 1)
     return docs
