@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_snippet
+from ..functions.text import STOP_WORDS, safe_snippet
 from .vectorize import Space, numbered
 
 MAX_ERRORS = 20
@@ -33,16 +35,21 @@ def train_svm(vectors: DataFrame, max_iter: int = 10, reg: float = 0.01, paralle
     return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), parallelism=parallelism).fit(vectors)
 
 
-def classify(train: DataFrame, test: DataFrame, mode: str = "raw", max_iter: int = 10) -> DataFrame:
+def classify(train: DataFrame, test: DataFrame, mode: str = "raw", max_iter: int = 10, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """(doc_id, text, label) twice -> (doc_id, label, prediction) of the test rows; the space is fitted on train alone."""
-    space = Space(train.select("doc_id", "text")).require_terms()
-    vocab = numbered(space.vocab).cache()
-    size = vocab.count()
-    own = features(space.postings([mode], False), vocab, f"w_{mode}", train.select("doc_id", "label"), size).cache()
-    model = train_svm(own, max_iter)
-    other = features(space.transform(test, [mode]), vocab, f"w_{mode}", test.select("doc_id", "label"), size)
-    out = model.transform(other).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
-    return out
+    space = Space(train.select("doc_id", "text"), stop_words).require_terms()
+    vocab = numbered(space.vocab).persist()
+    try:
+        size = vocab.count()
+        own = features(space.postings([mode], False), vocab, f"w_{mode}", train.select("doc_id", "label"), size).persist()
+        try:
+            model = train_svm(own, max_iter)
+        finally:
+            own.unpersist()
+    finally:
+        vocab.unpersist()
+    other = features(space.transform(test, [mode]), numbered(space.vocab), f"w_{mode}", test.select("doc_id", "label"), size)
+    return model.transform(other).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
 def misclassified(predictions: DataFrame, docs: DataFrame, names: DataFrame, n: int = MAX_ERRORS) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ TOLERANCE = 1e-12
 STRATEGIES = ("scan", "inverted")
 #: Query terms of at most so many rows (about 40 bytes each) are broadcast to the postings.
 MOST_QUERY_TERMS = 200_000
+#: Numbers of a block of the query matrix of a scan.
+SCAN_CELLS = 4 << 20
 
 
 def check_topk(topk: object, n_docs: int) -> int:
@@ -36,24 +42,84 @@ def query_weights(space: Space, queries: DataFrame, method: str, mode: str) -> D
     return tfidf(joined, [mode], "query_id").select("query_id", "term", F.col(f"w_{mode}").alias("weight"))
 
 
-def scores_inverted(postings: DataFrame, weights: DataFrame, column: str, small: bool = True) -> DataFrame:
-    """(query_id, doc_id, score): only postings of query terms are touched; partial sums before the shuffle."""
+def few_terms(queries: DataFrame) -> bool:
+    """Whether the queries' distinct terms, counted, are few enough to be broadcast."""
+    return (queries.agg(F.sum(F.size(F.array_distinct("tokens")))).first()[0] or 0) <= MOST_QUERY_TERMS
+
+
+def scores_inverted(postings: DataFrame, weights: DataFrame, column: str, small: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): only postings of query terms are touched; partial sums before the shuffle.
+
+    ``small`` says that the weights were counted and may be broadcast (see ``few_terms``).
+    """
     side = F.broadcast(weights) if small else weights
     return postings.select("doc_id", "term", F.col(column).alias("_w")).join(side, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("_w") * F.col("weight")).alias("score"))
 
 
-def scores_scan(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """The same from whole document vectors (doc_id, v: array of term and weight) against each query as a map.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best positive scores: larger first, equal to 12 decimals by id."""
+    near = np.flatnonzero(scores > 0)
+    if len(near) > 4 * k:
+        near = near[scores[near] >= np.partition(scores[near], len(near) - k)[len(near) - k] - 10.0**-TIE_DECIMALS]
+    return near[np.lexsort((ids[near], -np.round(scores[near], TIE_DECIMALS)))][:k]
 
-    Every document is looked at; queries are a bounded batch, so their maps are broadcast.
-    """
-    maps = weights.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("q"))
-    dot = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("q"), x["term"]), F.lit(0.0)))
-    return vectors.crossJoin(F.broadcast(maps)).select("query_id", "doc_id", dot.alias("score"))
 
+def scan_top_k(postings: DataFrame, weights: DataFrame, column: str, k: int) -> DataFrame:
+    """The k best of each query from a scan of every document against all queries, no posting list being looked up.
 
-def document_vectors(postings: DataFrame, column: str) -> DataFrame:
-    return postings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col(column).alias("w")))).alias("v"))
+    Queries are a bounded batch, counted before they are brought to the driver: a matrix of their terms, with which each
+    task multiplies its documents, block by block of queries.  Only a task's k best of each query leave it.
+    """
+    rows = weights.limit(MOST_QUERY_TERMS + 1).toPandas()
+    if len(rows) > MOST_QUERY_TERMS:
+        raise ValueError(f"a scan takes queries of at most {MOST_QUERY_TERMS} terms at a time; search by the inverted join")
+    names, at = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    terms = pd.Index(rows["term"].unique())
+    place, value = terms.get_indexer(rows["term"]), rows["weight"].to_numpy(np.float64)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = max(1, SCAN_CELLS // max(len(terms), 1))
+        blocks = []
+        for a in range(0, len(names), width):
+            own = (at >= a) & (at < a + width)
+            block = np.zeros((len(terms), min(width, len(names) - a)))
+            block[place[own], at[own] - a] = value[own]
+            blocks.append(block)
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+
+        def take(frame: pd.DataFrame) -> None:
+            found = terms.get_indexer(frame["term"])
+            known = found >= 0
+            ids, found, w = frame["doc_id"].to_numpy()[known], found[known], frame["w"].to_numpy(np.float64)[known]
+            if not len(ids):
+                return
+            starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            own = ids[starts]
+            for b, block in enumerate(blocks):
+                scores = np.add.reduceat(w[:, None] * block[found], starts, axis=0)
+                for q in np.flatnonzero((scores > 0).any(axis=0)):
+                    i = b * width + q
+                    s, d = np.concatenate([held[i][0], scores[:, q]]), np.concatenate([held[i][1], own])
+                    best = _best(s, d, k)
+                    held[i] = s[best], d[best]
+
+        rest = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            ids = rest["doc_id"].to_numpy()
+            # The last document may go on in the next batch.
+            whole = len(ids) - int((ids == ids[-1]).sum())
+            take(rest.iloc[:whole])
+            rest = rest.iloc[whole:]
+        if rest is not None:
+            take(rest)
+        yield pd.DataFrame({"query_id": np.repeat(names, [len(s) for s, _ in held]), "doc_id": np.concatenate([d for _, d in held]) if held else [], "score": np.concatenate([s for s, _ in held]) if held else []})
+
+    types = dict(weights.dtypes) | dict(postings.dtypes)
+    documents = postings.select("doc_id", "term", F.col(column).alias("w")).repartition("doc_id").sortWithinPartitions("doc_id")
+    return top_k(documents.mapInPandas(scan, f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -62,7 +128,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.filter("score > 0").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search_batch(space: Space, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", strategy: str = "inverted", postings: DataFrame | None = None, small: bool = True) -> DataFrame:
+def search_batch(space: Space, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", strategy: str = "inverted", postings: DataFrame | None = None) -> DataFrame:
     """(query_id, tokens) -> top k each.  Queries without a known term have no rows; ``unanswerable`` lists them."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
@@ -71,8 +137,8 @@ def search_batch(space: Space, queries: DataFrame, k: int, method: str = "tfidf"
     if postings is None:
         postings = space.postings([mode] if method != "bm25" else [], method == "bm25")
     if strategy == "scan":
-        return top_k(scores_scan(document_vectors(postings, column), weights), k)
-    return top_k(scores_inverted(postings, weights, column, small), k)
+        return scan_top_k(postings, weights, column, k)
+    return top_k(scores_inverted(postings, weights, column, few_terms(queries)), k)
 
 
 def unanswerable(space: Space, queries: DataFrame) -> DataFrame:
@@ -110,6 +176,13 @@ def rank_shift(base: DataFrame, other: DataFrame) -> DataFrame:
     return a.join(b, ["query_id", "doc_id"], "full_outer").filter(~F.col("base_rank").eqNullSafe(F.col("other_rank")))
 
 
+def compared(base: DataFrame, other: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(query_id, doc_id, base_rank, other_rank, length) of the rows of either list; a null rank is outside the list."""
+    a = base.select("query_id", "doc_id", F.col("rank").alias("base_rank"))
+    b = other.select("query_id", "doc_id", F.col("rank").alias("other_rank"))
+    return a.join(b, ["query_id", "doc_id"], "full_outer").join(lengths.select("doc_id", "length"), "doc_id").select("query_id", "doc_id", "base_rank", "other_rank", "length")
+
+
 def overlap(one: DataFrame, other: DataFrame) -> DataFrame:
     """(query_id, overlap): documents that both lists hold."""
     return one.select("query_id", "doc_id").join(other.select("query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("overlap"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokenize
+from .sizes import broadcast_if_few
 
 TF_MODES = ("raw", "log", "double")
 K1, B = 1.5, 0.75
-#: A vocabulary of at most so many terms (about 40 bytes each) is broadcast to the postings.
-MOST_TERMS_BROADCAST = 200_000
 
 
 def tokenized(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,26 +32,39 @@ def doc_lengths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf, bm25_idf); N counts all documents, those without tokens too."""
+    """(term, df, idf, bm25_idf); N counts all documents, those without tokens too.
+
+    Grouped by the term and a hash of it: a join on the term then shuffles the few rows of the vocabulary once more, which
+    lets the skew join split the other side.
+    """
     df = F.col("df")
-    return counts.groupBy("term").agg(F.count("*").alias("df")).select(
+    return counts.groupBy("term", F.xxhash64("term").alias("_h")).agg(F.count("*").alias("df")).select(
         "term", "df", (F.ln((1.0 + F.lit(n_docs)) / (1.0 + df)) + 1.0).alias("idf"), F.ln(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)).alias("bm25_idf")
     )
 
 
 def numbered(vocab: DataFrame) -> DataFrame:
-    """Adds term_id, the 0-based place in code-point order.  For display and export: joins go by term."""
-    spans = vocab.repartitionByRange("term").withColumn("_p", F.spark_partition_id())
-    sizes = spans.groupBy("_p").count()
-    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy("term")) - 1
-    return spans.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("term_id", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
+    """Adds term_id, the 0-based place in code-point order.  For display and export: joins go by term.
+
+    Terms are counted by their first two characters; a term's place is what comes before its beginning, and its place
+    among those that begin alike.
+    """
+    begins = F.substring("term", 1, 2)
+    sizes = vocab.groupBy(begins.alias("_p")).agg(F.count("*").alias("_n"))
+    # One row for each beginning: at most 26 * 26 of them, as terms are a to z.
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("term")) - 1
+    numbered_ = vocab.withColumn("_b", begins).withColumn("_own", own).join(broadcast_if_few(before), F.col("_b") == F.col("_p"))
+    return numbered_.withColumn("term_id", F.col("_own") + F.col("_before")).drop("_b", "_p", "_own", "_before")
+
 
+def with_vocabulary(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Inner join on term: what is out of vocabulary goes.
 
-def with_vocabulary(counts: DataFrame, vocab: DataFrame, n_terms: int | None = None) -> DataFrame:
-    """Inner join on term: what is out of vocabulary goes.  Broadcast only if ``n_terms`` is known to be small."""
-    small = n_terms is not None and n_terms <= MOST_TERMS_BROADCAST
-    return counts.join(F.broadcast(vocab) if small else vocab, "term")
+    Both sides of the join are plain shuffles (see ``vocabulary``), so that a small vocabulary is broadcast at run time and
+    the postings of a very frequent term are split by the skew join.
+    """
+    return counts.join(vocab, "term")
 
 
 def tf(mode: str, key: str = "doc_id"):
@@ -96,10 +109,14 @@ class Space:
         self.tokens = tokenized(docs, self.stop_words)
         self.counts = term_counts(self.tokens)
         self.lengths = doc_lengths(self.tokens)
-        n, average = self.lengths.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-        self.n_docs, self.average = int(n), float(average)
+        self.n_docs = docs.count()
         self.vocab = vocabulary(self.counts, self.n_docs)
 
+    @cached_property
+    def average(self) -> float:
+        """The mean document length, found when it is first needed."""
+        return float(self.lengths.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0])
+
     def require_terms(self) -> Space:
         if self.vocab.isEmpty():
             raise ValueError("vocabulary is empty")
@@ -116,6 +133,31 @@ class Space:
         return tfidf(with_vocabulary(counts, self.vocab), modes, key)
 
 
+def invalid_cells(cells: DataFrame, vocab: DataFrame, n_docs: int, column: str = "count", ids: DataFrame | None = None) -> DataFrame:
+    """(problem, cells) of a matrix (doc_id, term, <column>): every kind of problem, with 0 where there is none.
+
+    Cells that stand twice, values that are null, not finite or zero, terms out of the vocabulary, documents out of
+    ``ids`` (doc_id) if these are given, and more documents than ``n_docs``.
+    """
+    value = F.col(column).cast("double")
+    bad = F.count_if(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")) | (value == 0))
+    twice = cells.groupBy("doc_id", "term").count().filter("count > 1").agg(F.lit("repeated cells").alias("problem"), F.count("*").alias("cells"))
+    values = cells.agg(F.lit("values").alias("problem"), bad.alias("cells"))
+    terms = cells.join(vocab.select("term"), "term", "left_anti").agg(F.lit("unknown terms").alias("problem"), F.count("*").alias("cells"))
+    out = twice.unionByName(values).unionByName(terms)
+    if ids is not None:
+        out = out.unionByName(cells.join(ids.select("doc_id"), "doc_id", "left_anti").agg(F.lit("unknown documents").alias("problem"), F.count("*").alias("cells")))
+    return out.unionByName(cells.agg(F.lit("documents over the shape").alias("problem"), F.greatest(F.count_distinct("doc_id") - F.lit(n_docs), F.lit(0)).alias("cells")))
+
+
+def validated(cells: DataFrame, vocab: DataFrame, n_docs: int, column: str = "count", ids: DataFrame | None = None) -> DataFrame:
+    """The matrix itself, if nothing is wrong with it."""
+    wrong = [f"{r.cells} {r.problem}" for r in invalid_cells(cells, vocab, n_docs, column, ids).filter("cells > 0").collect()]
+    if wrong:
+        raise ValueError("invalid sparse matrix: " + ", ".join(sorted(wrong)))
+    return cells
+
+
 def matrix_stats(postings: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """One row: shape, nnz, density and the bytes of dense, row-wise and posting layouts."""
     cells = n_docs * n_terms
