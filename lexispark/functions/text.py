@@ -91,10 +91,10 @@ def cut_at_word(clean: Column, limit: int = SNIPPET_LIMIT) -> Column:
     return F.when(F.length(clean) <= limit, clean).when(F.substring(clean, limit + 1, 1) == " ", head).otherwise(F.regexp_replace(head, " [^ ]*$", ""))
 
 
-def safe_snippet(df: DataFrame, text: str = "text", limit: int = SNIPPET_LIMIT, name: str = "snippet") -> DataFrame:
-    """Adds a snippet of the sanitized text; an empty one is an error, as it could not be shown."""
+def safe_snippet(df: DataFrame, text: str = "text", limit: int = SNIPPET_LIMIT, name: str = "snippet", allow_empty: bool = False) -> DataFrame:
+    """Adds a snippet of the sanitized text; an empty one is an error, as it could not be shown, unless allowed."""
     out = redact(df, text)
-    checked = F.when(F.col("clean") == "", F.raise_error(F.lit("snippet source must contain text after sanitization")).cast("string")).otherwise(cut_at_word(F.col("clean"), limit))
+    checked = cut_at_word(F.col("clean"), limit) if allow_empty else F.when(F.col("clean") == "", F.raise_error(F.lit("snippet source must contain text after sanitization")).cast("string")).otherwise(cut_at_word(F.col("clean"), limit))
     return out.withColumn(name, checked).drop("clean", *[f"n_{kind}" for kind in KINDS])
 
 

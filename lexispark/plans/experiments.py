@@ -5,29 +5,29 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import classify as C
 from ..operators import metrics as M
 from ..operators import retrieve as R
 from ..operators import split as S
 from ..operators import vectorize as V
+from ..operators.sizes import broadcast_if_few
 
 ABLATION_SEEDS = tuple(range(10))
 
 
-def evaluate(train: DataFrame, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", stop_words: Iterable[str] | None = None, space: V.Space | None = None, small: bool = True) -> DataFrame:
-    """Per-query metrics of label retrieval: (doc_id, text, label) searched by (query_id, text, label).
-
-    ``small`` broadcasts the terms of the queries.
-    """
+def evaluate(train: DataFrame, queries: DataFrame, k: int, method: str = "tfidf", mode: str = "raw", stop_words: Iterable[str] | None = None, space: V.Space | None = None) -> DataFrame:
+    """Per-query metrics of label retrieval: (doc_id, text, label) searched by (query_id, text, label)."""
     from ..functions.text import STOP_WORDS
 
     words = STOP_WORDS if stop_words is None else tuple(stop_words)
     space = space or V.Space(train.select("doc_id", "text"), words)
-    weights = R.query_weights(space, V.tokenized(queries, words, "query_id"), method, mode)
+    tokens = V.tokenized(queries, words, "query_id")
+    weights = R.query_weights(space, tokens, method, mode)
     postings = space.postings([mode] if method != "bm25" else [], method == "bm25")
-    scores = R.scores_inverted(postings, weights, "w_bm25" if method == "bm25" else f"w_{mode}", small)
+    scores = R.scores_inverted(postings, weights, "w_bm25" if method == "bm25" else f"w_{mode}", R.few_terms(tokens))
     return M.retrieval_metrics(R.padded_ranking(scores, queries, train, k), queries, train, k)
 
 
@@ -37,34 +37,56 @@ def held_out(docs: DataFrame, count: int | None, seed: int = S.SEED) -> tuple[Da
     return d.filter("NOT is_test").drop("is_test"), test.withColumnRenamed("doc_id", "query_id")
 
 
-def ablation_variant(docs: DataFrame, name: str, stop_words: Iterable[str], count: int | None, k: int, seed: int = S.SEED) -> DataFrame:
-    """One row: name, stop_word_count, vocabulary_size, precision_at_k, map_at_k."""
+def classified(docs: DataFrame, mode: str = "raw", stop_words: Iterable[str] | None = None, seed: int = S.SEED, max_iter: int = 10) -> DataFrame:
+    """One row: accuracy and macro_f1 of a linear SVM on the held-out documents, whose labels are numbered here by name."""
+    from ..functions.text import STOP_WORDS
+
+    names = broadcast_if_few(docs.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("_n")))
+    numbered = docs.join(names, "label").select("doc_id", "text", F.col("_n").alias("label"))
+    d = S.stratified_split(numbered, seed=seed)
+    out = C.classify(d.filter("NOT is_test").drop("is_test"), d.filter("is_test").drop("is_test"), mode, max_iter, STOP_WORDS if stop_words is None else tuple(stop_words))
+    return M.accuracy(out).crossJoin(M.macro_f1(out)).select("accuracy", "macro_f1")
+
+
+def ablation_variant(docs: DataFrame, name: str, stop_words: Iterable[str], count: int | None, k: int, seed: int = S.SEED, classify: bool = False) -> DataFrame:
+    """One row: name, stop_word_count, vocabulary_size, precision_at_k, map_at_k; accuracy and macro_f1 if asked for."""
     words = tuple(stop_words)
     train, queries = held_out(docs, count, seed)
     space = V.Space(train.select("doc_id", "text"), words)
     size = space.vocab.agg(F.count("*").alias("vocabulary_size"))
-    means = M.mean_metrics(evaluate(train, queries, k, stop_words=words, space=space, small=count is not None))
-    return means.crossJoin(size).select(F.lit(name).alias("name"), F.lit(len(words)).alias("stop_word_count"), "vocabulary_size", "precision_at_k", "map_at_k")
+    means = M.mean_metrics(evaluate(train, queries, k, stop_words=words, space=space))
+    row = means.crossJoin(size).select(F.lit(name).alias("name"), F.lit(len(words)).alias("stop_word_count"), "vocabulary_size", "precision_at_k", "map_at_k")
+    return row.crossJoin(classified(docs, "raw", words, seed)) if classify else row
 
 
-def stop_word_ablation(docs: DataFrame, count: int | None = None, k: int = 10, seeds: Iterable[int] = ABLATION_SEEDS) -> DataFrame:
+def stop_word_ablation(docs: DataFrame, count: int | None = None, k: int = 10, seeds: Iterable[int] = ABLATION_SEEDS, classify: bool = False) -> DataFrame:
     """Both variants over all seeds, then mean and standard deviation by variant."""
     from ..functions.text import STOP_WORDS
 
-    rows = [ablation_variant(docs, name, words, count, k, seed).withColumn("seed", F.lit(seed)) for seed in seeds for name, words in (("default", STOP_WORDS), ("none", ()))]
+    rows = [ablation_variant(docs, name, words, count, k, seed, classify).withColumn("seed", F.lit(seed)) for seed in seeds for name, words in (("default", STOP_WORDS), ("none", ()))]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return M.summarize_runs(out, ["vocabulary_size", "precision_at_k", "map_at_k"])
+    return M.summarize_runs(out, ["vocabulary_size", "precision_at_k", "map_at_k", *(("accuracy", "macro_f1") if classify else ())])
 
 
-def tf_variants(docs: DataFrame, count: int | None = 100, k: int = 10) -> DataFrame:
-    """(method, queries, precision_at_k, map_at_k) of the three TF modes and BM25 over one split."""
+def tf_variants(docs: DataFrame, count: int | None = 100, k: int = 10, classify: bool = False) -> DataFrame:
+    """(method, queries, empty_queries, train_nnz, precision_at_k, map_at_k) of the three TF modes and BM25 over one split.
+
+    With ``classify``, accuracy and macro_f1 of a linear SVM by TF mode, null for BM25.
+    """
     train, queries = held_out(docs, count)
     space = V.Space(train.select("doc_id", "text"))
+    empty = R.unanswerable(space, V.tokenized(queries, key="query_id")).agg(F.count("*").alias("empty_queries"))
+    nnz = space.counts.agg(F.count("*").alias("train_nnz"))
+    shared = empty.crossJoin(nnz)
     out = None
     for method, mode in [*(("tfidf", m) for m in V.TF_MODES), ("bm25", "raw")]:
-        row = M.mean_metrics(evaluate(train, queries, k, method, mode, space=space)).select(F.lit(method if method == "bm25" else mode).alias("method"), "queries", "precision_at_k", "map_at_k")
+        row = M.mean_metrics(evaluate(train, queries, k, method, mode, space=space)).crossJoin(shared)
+        row = row.select(F.lit(method if method == "bm25" else mode).alias("method"), "queries", "empty_queries", "train_nnz", "precision_at_k", "map_at_k")
+        if classify:
+            none = row.sparkSession.createDataFrame([(None, None)], "accuracy double, macro_f1 double")
+            row = row.crossJoin(classified(docs, mode) if method == "tfidf" else none)
         out = row if out is None else out.unionByName(row)
     return out
 

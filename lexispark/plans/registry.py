@@ -11,9 +11,13 @@ from ..operators import metrics as M
 from ..operators import retrieve as R
 from ..operators import split as S
 from ..operators import vectorize as V
-from ..sources import corpus
+from ..functions import register
+from ..sources import corpus, store
+from .validation import validate_weights
 
 K = 10
+#: Held-out documents that the sampled evaluations ask.
+SAMPLED = 100
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -118,14 +122,18 @@ def tokenize_without_stop_words(spark, sf_dir):
     return d.select("doc_id", F.size(T.tokenize(F.col("text"), ())).cast("long").alias("n"))
 
 
-_EMAIL_SQL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-_URL_SQL = r"(?i)\b(?:https?://|ftp://|www\.)\S+"
+_EMAIL_SQL, _URL_SQL = f"(?i){T.EMAIL}", f"(?i){T.URL}"
 _OCT = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP_SQL = rf"\b{_OCT}(?:\.{_OCT}){{3}}\b"
 _PHONE_SQL = r"(^|\W)((?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}|\d{3}[-.]\d{4})($|\W)"
+# An address fills a whole run of hexadecimal digits and colons; RE2 cannot look around, so a run's neighbours are matched too.
+_IPV6_RUN, _IPV6_SQL = "[0-9A-Fa-f:]+", T._IPV6.removeprefix("(?<![0-9A-Fa-f:])").removesuffix("(?![0-9A-Fa-f:])")
+_IPV6_AROUND = f"(^|[^0-9A-Fa-f:]){_IPV6_SQL}($|[^0-9A-Fa-f:])"
 _CLEAN = f"""s1 AS (SELECT *, len(regexp_extract_all(text, '{_EMAIL_SQL}')) AS n_email, regexp_replace(text, '{_EMAIL_SQL}', ' ', 'g') AS t1 FROM documents),
 s2 AS (SELECT *, len(regexp_extract_all(t1, '{_URL_SQL}')) AS n_url, regexp_replace(t1, '{_URL_SQL}', ' ', 'g') AS t2 FROM s1),
-s3 AS (SELECT *, len(regexp_extract_all(t2, '{_IP_SQL}')) AS n_ipv4, CAST(0 AS BIGINT) AS n_ipv6, regexp_replace(t2, '{_IP_SQL}', ' ', 'g') AS t3 FROM s2),
+s2b AS (SELECT *, len(regexp_extract_all(t2, '{_IP_SQL}')) AS n_ipv4, regexp_replace(t2, '{_IP_SQL}', ' ', 'g') AS t2b FROM s2),
+s3 AS (SELECT *, len(list_filter(regexp_extract_all(t2b, '{_IPV6_RUN}'), lambda x: regexp_full_match(x, '{_IPV6_SQL}'))) AS n_ipv6,
+  regexp_replace(regexp_replace(t2b, '{_IPV6_AROUND}', '\\1 \\2', 'g'), '{_IPV6_AROUND}', '\\1 \\2', 'g') AS t3 FROM s2b),
 s4 AS (SELECT *, len(regexp_extract_all(t3, '{_PHONE_SQL}')) AS n_phone, regexp_replace(t3, '{_PHONE_SQL}', '\\1 \\3', 'g') AS t4 FROM s3),
 cl AS (SELECT *, array_to_string(regexp_extract_all(lower(t4), '[a-z]+'), ' ') AS clean FROM s4)"""
 
@@ -144,6 +152,19 @@ def sanitize_ip(spark, sf_dir):
     return _redacted(spark, sf_dir).select("doc_id", F.col("n_ipv4").cast("long").alias("n_ipv4"), F.col("n_ipv6").cast("long").alias("n_ipv6"))
 
 
+# Texts with made-up addresses at their end: of four groups and a gap, of eight, of nine (none), with a group too long (none).
+_M = lambda i: f"substr(md5(CAST(doc_id AS VARCHAR)), {i}, 4)"
+_SIX = " || ':' || ".join(_M(1 + 4 * i) for i in range(6))
+_WITH_IPV6 = f"SELECT doc_id, text || ' see ' || {_M(1)} || ':' || {_M(5)} || '::' || {_M(9)} || ' or ' || {_SIX} || ':1:2 not ' || {_SIX} || ':1:2:3 nor ' || {_M(1)} || '0::1,' || '::' || {_M(3)} || '.' AS text FROM documents"
+
+
+@query(f"WITH {_CLEAN.replace('FROM documents', f'FROM ({_WITH_IPV6})')} SELECT doc_id, n_ipv6, clean FROM cl")
+def sanitize_ipv6(spark, sf_dir):
+    d = spread(docs_of(spark, sf_dir).select("doc_id", "text"))
+    made = d.selectExpr("doc_id", _WITH_IPV6.replace("VARCHAR", "STRING").removeprefix("SELECT doc_id, ").removesuffix(" FROM documents"))
+    return T.redact(made).select("doc_id", F.col("n_ipv6").cast("long").alias("n_ipv6"), "clean")
+
+
 @query(f"WITH {_CLEAN} SELECT doc_id, n_phone FROM cl")
 def sanitize_phone(spark, sf_dir):
     return _redacted(spark, sf_dir).select("doc_id", F.col("n_phone").cast("long").alias("n_phone"))
@@ -256,6 +277,32 @@ def stage_example(spark, sf_dir):
     return p.join(F.broadcast(first), "doc_id").orderBy("term").limit(5).select("doc_id", "term", "count", F.round("idf", 6).alias("idf"), F.round(F.col("count") * F.col("idf"), 6).alias("weighted"), F.round("w_raw", 6).alias("w"))
 
 
+@query(f"WITH {_BASE} SELECT problem, CAST(0 AS BIGINT) AS cells FROM (VALUES ('repeated cells'), ('values'), ('unknown terms'), ('unknown documents'), ('documents over the shape')) v(problem) UNION ALL SELECT 'cells without a term', (SELECT count(*) FROM cnt WHERE length(term) % 7 = 0)")
+def matrix_problems(spark, sf_dir):
+    """None in the fitted matrix; and what is found where the vocabulary lacks the terms of every seventh length."""
+    s = space_of(spark, sf_dir)
+    fine = V.invalid_cells(s.counts, s.vocab, s.n_docs, ids=s.lengths)
+    broken = V.invalid_cells(s.counts, s.vocab.filter("length(term) % 7 <> 0"), s.n_docs).filter("problem = 'unknown terms'")
+    return fine.unionByName(broken.withColumn("problem", F.lit("cells without a term")))
+
+
+@query(f"WITH {_BASE} SELECT n AS n_docs, (SELECT count(*) FROM voc) AS n_terms, (SELECT count(*) FROM cnt) AS cells, true AS passed FROM nn")
+def weights_against_ml(spark, sf_dir):
+    """The TF-IDF weights against those of Spark's ML pipeline, which shares no code with the fit."""
+    docs = spread(docs_of(spark, sf_dir).select("doc_id", "text"))
+    out = validate_weights(V.Space(docs), docs)
+    return out.select("n_docs", "n_terms", "cells", "passed")
+
+
+@query(f"WITH {_CLEAN}, tk AS ({_tok()}) SELECT cl.doc_id, clean, len(toks) AS n_tokens, n_email + n_url + n_ipv4 + n_ipv6 + n_phone AS redacted, regexp_matches(clean, '^[a-z]+( [a-z]+)*$') AS safe FROM cl JOIN tk ON cl.doc_id = tk.doc_id")
+def sql_functions(spark, sf_dir):
+    """The text functions as they are registered for SQL."""
+    register.register(spark)
+    spread(docs_of(spark, sf_dir).select("doc_id", "text")).createOrReplaceTempView("lexi_documents")
+    total = "aggregate(map_values(lexi_redactions(text)), 0, (a, x) -> a + x)"
+    return spark.sql(f"SELECT doc_id, lexi_clean(text) AS clean, CAST(size(lexi_tokens(text)) AS BIGINT) AS n_tokens, CAST({total} AS BIGINT) AS redacted, lexi_is_safe(lexi_clean(text)) AS safe FROM lexi_documents")
+
+
 # Search
 
 
@@ -285,6 +332,41 @@ _search_query("search_scan_raw", "tfidf", "raw", "scan")
 _search_query("search_bm25", "bm25", "raw", "inverted")
 
 
+# Searches of a stored index: it is built once for a session and a table, as an index is; only the search is the query.
+_INDEXES: dict = {}
+
+
+def index_of(spark, sf_dir) -> store.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = store.scratch_folder(spark, "index")
+        docs, names = corpus.read_documents(spark, f"{sf_dir}/documents.parquet", "lang")
+        store.save(V.Space(docs.select("doc_id", "text")), docs, names, path, "", allow_empty_snippets=True)
+        _INDEXES[key] = store.load(spark, path)
+    return _INDEXES[key]
+
+
+def _index_query(name, method, mode, strategy):
+    def run(spark, sf_dir):
+        best = store.search_batch(index_of(spark, sf_dir), bench_queries(spark, sf_dir), K, method, mode, strategy)
+        return best.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    return query(f"WITH {_BASE}, {_QTOK}, {_search('bm25' if method == 'bm25' else mode)} {_top}")(run)
+
+
+_index_query("search_index_cosine", "tfidf", "raw", "inverted")
+_index_query("search_index_bm25", "bm25", "raw", "inverted")
+_index_query("search_index_scan", "tfidf", "raw", "scan")
+
+
+@query(f"WITH {_BASE}, {_QTOK}, {_search('raw', K, 'a')}, {_search('bm25', K, 'b')} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CAST(a.rank AS INTEGER) AS base_rank, CAST(b.rank AS INTEGER) AS other_rank, len(toks) AS length FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id JOIN tok ON tok.doc_id = coalesce(a.doc_id, b.doc_id)")
+def tfidf_bm25_comparison(spark, sf_dir):
+    """Ranks of both, null outside the list, and how long the document is."""
+    index, q = index_of(spark, sf_dir), bench_queries(spark, sf_dir)
+    return R.compared(store.search_batch(index, q, K), store.search_batch(index, q, K, "bm25"), index.docs)
+
+
 @query(f"WITH {_BASE}, {_QTOK}, {_search('raw')} SELECT count(*) AS shared, CAST(0 AS BIGINT) AS unshared, true AS consistent FROM top")
 def scan_inverted_consistency(spark, sf_dir):
     s, q = space_of(spark, sf_dir), bench_queries(spark, sf_dir)
@@ -306,9 +388,11 @@ def tfidf_bm25_overlap(spark, sf_dir):
     return R.overlap(R.search_batch(s, q, K, postings=p), R.search_batch(s, q, K, "bm25", postings=p))
 
 
-@query(f"WITH {_BASE}, ct AS ({_tok(table='conversations', key='conv_id * 1000 + turn AS query_id')}) SELECT query_id FROM ct WHERE NOT list_has_any(toks, (SELECT list(term) FROM voc))")
+# Made-up queries of the letters a to f, of which some hold a known term and some none.
+@query(f"WITH {_BASE}, ct AS ({_tok(table='(SELECT conv_id * 1000 + turn AS query_id, md5(CAST(conv_id * 1000 + turn AS VARCHAR)) AS text FROM conversations)', key='query_id')}) SELECT DISTINCT query_id FROM ct WHERE NOT list_has_any(toks, (SELECT list(term) FROM voc))")
 def oov_queries(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    turn = (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(turn).distinct().withColumn("text", F.md5(F.col("query_id").cast("string")))
     return R.unanswerable(space_of(spark, sf_dir), V.tokenized(turns, key="query_id"))
 
 
@@ -321,18 +405,18 @@ def stratified_split(spark, sf_dir):
 
 
 _SUBSET = f"""{_SPLIT}, te AS (SELECT * FROM sp WHERE is_test),
-sz AS (SELECT label, 40 * count(*) / (SELECT count(*) FROM te) AS q FROM te GROUP BY label),
-tk AS (SELECT label, floor(q) + CAST(row_number() OVER (ORDER BY q - floor(q) DESC, label) <= 40 - (SELECT sum(floor(q)) FROM sz) AS INTEGER) AS take FROM sz),
+sz AS (SELECT label, {SAMPLED} * count(*) / (SELECT count(*) FROM te) AS q FROM te GROUP BY label),
+tk AS (SELECT label, floor(q) + CAST(row_number() OVER (ORDER BY q - floor(q) DESC, label) <= {SAMPLED} - (SELECT sum(floor(q)) FROM sz) AS INTEGER) AS take FROM sz),
 qs AS (SELECT * FROM (SELECT te.*, row_number() OVER (PARTITION BY te.label ORDER BY md5('42:' || doc_id), doc_id) AS place, take FROM te JOIN tk ON te.label = tk.label) WHERE place <= take)"""
 
 
 @query(f"WITH {_SUBSET} SELECT doc_id, label FROM qs")
 def query_subset(spark, sf_dir):
     test = S.stratified_split(labelled(spark, sf_dir)).filter("is_test")
-    return S.query_subset(test, 40).select("doc_id", "label")
+    return S.query_subset(test, SAMPLED).select("doc_id", "label")
 
 
-@query(f"WITH {_SPLIT} SELECT count(*) FILTER (is_test) AS test, count(*) FILTER (NOT is_test) AS train, CAST(0 AS BIGINT) AS shared FROM sp")
+@query(f"WITH {_SPLIT} SELECT count(*) FILTER (is_test) AS test, count(*) FILTER (NOT is_test) AS train, (SELECT count(*) FROM sp a JOIN sp b ON a.doc_id = b.doc_id WHERE a.is_test AND NOT b.is_test) AS shared FROM sp")
 def split_disjoint(spark, sf_dir):
     d = S.stratified_split(labelled(spark, sf_dir)).select("doc_id", "is_test")
     test, train = d.filter("is_test").select("doc_id"), d.filter("NOT is_test").select("doc_id")
@@ -342,8 +426,6 @@ def split_disjoint(spark, sf_dir):
 # Evaluation: held-out documents search the training documents; same language is relevant.  The queries with a DuckDB text
 # ask a sample of SAMPLED held-out documents, as their texts do; those named ..._all ask every one and have no text.
 
-SAMPLED = 40
-
 
 def _evaluation(spark, sf_dir, method="tfidf", mode="raw", stop_words=T.STOP_WORDS, count=SAMPLED):
     d = S.stratified_split(labelled(spark, sf_dir))
@@ -353,7 +435,7 @@ def _evaluation(spark, sf_dir, method="tfidf", mode="raw", stop_words=T.STOP_WOR
     tokens = V.tokenized(q, stop_words, "query_id")
     weights = R.query_weights(space, tokens, method, mode)
     p = space.postings([mode] if method != "bm25" else [], method == "bm25")
-    scores = R.scores_inverted(p, weights, "w_bm25" if method == "bm25" else f"w_{mode}", small=count is not None)
+    scores = R.scores_inverted(p, weights, "w_bm25" if method == "bm25" else f"w_{mode}", R.few_terms(tokens))
     ranking = R.padded_ranking(scores, q, train, K)
     return M.retrieval_metrics(ranking, q, train, K)
 
@@ -440,6 +522,46 @@ def stop_word_ablation(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("name", "stop_word_count", "vocabulary_size", *_six("precision_at_k", "map_at_k"))
 
 
+def _variant_sql(mode: str, name: str) -> str:
+    return f"SELECT * FROM (WITH {_eval_sql(mode)} SELECT '{name}' AS method, count(*) AS queries, (SELECT count(*) FROM qt WHERE query_id NOT IN (SELECT query_id FROM qc JOIN voc ON qc.term = voc.term)) AS empty_queries, (SELECT count(*) FROM cnt) AS train_nnz, round(avg(precision_at_k), 6) AS precision_at_k, round(avg(ap_at_k), 6) AS map_at_k FROM pq)"
+
+
+@query(" UNION ALL ".join(_variant_sql(m, m) for m in (*V.TF_MODES, "bm25")))
+def tf_variants(spark, sf_dir):
+    from .experiments import tf_variants as variants
+
+    return variants(labelled(spark, sf_dir), SAMPLED, K).select("method", "queries", "empty_queries", "train_nnz", *_six("precision_at_k", "map_at_k"))
+
+
+@query()
+def tf_variants_classified(spark, sf_dir):
+    """The same of every held-out document, with accuracy and macro-F1 of a linear SVM by TF mode."""
+    from .experiments import tf_variants as variants
+
+    return variants(labelled(spark, sf_dir), None, K, classify=True)
+
+
+@query()
+def stop_word_ablation_classified(spark, sf_dir):
+    """All held-out documents of one seed, with accuracy and macro-F1 of a linear SVM."""
+    from .experiments import stop_word_ablation as ablation
+
+    return ablation(labelled(spark, sf_dir), None, K, seeds=(S.SEED,), classify=True)
+
+
+@query(f"WITH {_eval_sql('raw')} SELECT query_id, to_json({{'query_id': query_id, 'query_label': query_label, 'top_doc_ids': (SELECT list(doc_id ORDER BY rank) FROM rk WHERE rk.query_id = pq.query_id)}}) AS record FROM pq")
+def per_query_json(spark, sf_dir):
+    """A nested record of each query."""
+    return _evaluation(spark, sf_dir).select("query_id", F.to_json(F.struct("query_id", "query_label", "top_doc_ids")).alias("record"))
+
+
+@query(f"WITH {_CLEAN} SELECT to_json(map_from_entries(list((source, {{'raw': raw, 'retained': retained, 'excluded': excluded}}) ORDER BY source))) AS categories FROM (SELECT source, count(*) AS raw, count(*) FILTER (clean <> '') AS retained, count(*) FILTER (clean = '') AS excluded FROM cl GROUP BY source)")
+def privacy_category_map(spark, sf_dir):
+    """One map of a category's name to its counts."""
+    docs, categories = corpus.read_documents(spark, f"{sf_dir}/documents.parquet", "source")
+    return corpus.category_map(corpus.category_report(spread(docs), categories)).select(F.to_json("categories").alias("categories"))
+
+
 @query()
 def stop_word_ablation_all(spark, sf_dir):
     """All held-out documents of all seeds."""

@@ -9,13 +9,20 @@ from ..functions.text import KINDS, redact
 
 MINIMUM_DOCUMENTS = 500
 FULL_CATEGORIES = 20
+#: A column with more different values is refused as a label.
+MOST_CATEGORIES = 100_000
 
 
 def read_documents(spark: SparkSession, path: str, label: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, label), (label, name): labels number the names in code-point order; a small dimension."""
+    """(doc_id, text, label), (label, name): labels number the names in code-point order; a small dimension.
+
+    A document without a label belongs to no category and is left out.
+    """
     raw = spark.read.parquet(path).select("doc_id", "text", F.col(label).alias("name"))
-    names = sorted(r[0] for r in raw.select("name").filter("name IS NOT NULL").distinct().collect())
-    categories = spark.createDataFrame(list(enumerate(names)), "label int, name string")
+    found = raw.select("name").filter("name IS NOT NULL").distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{label} has over {MOST_CATEGORIES} different values and is no label")
+    categories = spark.createDataFrame(list(enumerate(sorted(r[0] for r in found))), "label int, name string")
     return raw.join(F.broadcast(categories), "name").select("doc_id", "text", "label"), categories
 
 
@@ -59,6 +66,12 @@ def category_report(docs: DataFrame, categories: DataFrame) -> DataFrame:
     return categories.join(counts, "label", "left").select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "retained", "excluded")])
 
 
+def category_map(report: DataFrame) -> DataFrame:
+    """One row: ``categories``, a map of each name to its counts; categories are a small dimension."""
+    counts = F.struct("raw", "retained", "excluded")
+    return report.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name"), counts.alias("counts"))))).alias("categories"))
+
+
 def privacy_summary(docs: DataFrame) -> DataFrame:
     """One row: documents in, retained and dropped, the retention rate (0 for none) and redactions by kind."""
     kept = F.count_if(F.col("clean") != "")
