@@ -39,8 +39,9 @@ MOST_ENTRIES, MOST_ENTRY_VOTERS, MOST_FEATURES = 600, 48, 4_000
 #: Entries: so many toxic rows and this share of them at least, this log-odds ratio, and so few other rows for each.
 MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS, MOST_OTHERS = 3, 0.008, 3.5, 0.05
 #: Features: weight of toxic rows, and standard errors of the log-odds ratio.
-MIN_WEIGHT, MIN_Z = 3.0, 5.0
+MIN_WEIGHT, MIN_Z = 3.0, 4.0
 PREFIXES, GRAM = (4, 5, 6), 5
+MOST_SHIFT = 3.0
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.5
 #: Words whose features a task remembers.
@@ -103,11 +104,13 @@ def learn_lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
 class Lexicon:
     """Voters over a text's hits: the themes of the seeds, learned entries one by one, the rest of them, and patterns."""
 
+    PATTERNS = ("silent", "several", "many", "dense", "shouted", "near you", "exclaimed")
+
     def __init__(self, learned: list[str]):
         seeds = {w + "$": t for t, words in enumerate(THEMES.values()) for w in words}
         learned = [e for e in learned if e not in seeds]
         self.voter = seeds | {e: len(THEMES) + min(i, MOST_ENTRY_VOTERS) for i, e in enumerate(learned)}
-        self.names = [*THEMES, *learned[:MOST_ENTRY_VOTERS], "other learned entries", "several", "many", "dense", "shouted", "near you", "exclaimed"]
+        self.names = [*THEMES, *learned[:MOST_ENTRY_VOTERS], "other learned entries", *self.PATTERNS]
 
     def votes(self, text: str | None) -> list[bool]:
         words = words_of(text)
@@ -116,9 +119,9 @@ class Lexicon:
         for e in hits:
             fired[self.voter[e]] = True
         told = set(hits.values())
-        fired = fired[: len(self.names) - 6]
+        fired = fired[: len(self.names) - len(self.PATTERNS)]
         sentences = [s for s in re.split(r"(?<=[.!?\n])", text or "") if told & words_of(s)] if told else []
-        return [*fired, len(told) > 1, len(told) > 3, len(told) >= 0.02 * len(words) > 0, any(w.upper() in text for w in told if len(w) > 3), any(_NEAR_YOU.search(s) for s in sentences), any(s.rstrip().endswith("!") for s in sentences)]
+        return [*fired, not told, len(told) > 1, len(told) > 3, len(told) >= 0.02 * len(words) > 0, any(w.upper() in text for w in told if len(w) > 3), any(_NEAR_YOU.search(s) for s in sentences), any(s.rstrip().endswith("!") for s in sentences)]
 
 
 def correlations(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -131,16 +134,28 @@ def correlations(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.clip(r, -1, 1)
 
 
+def _shift(gain: np.ndarray, prior: float) -> float:
+    """What to add to the log odds so that the mean probability is ``prior``, by bisection."""
+    low, high = -20.0, 20.0
+    for _ in range(40):
+        at = (low + high) / 2
+        low, high = (at, high) if (1 / (1 + np.exp(-np.clip(gain + at, -40, 40)))).mean() < prior else (low, at)
+    return (low + high) / 2
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 60, outer: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n x m firings and the share of class 1 -> its posteriors, m x 2 firing probabilities, m x m correlations within the classes, voters' weights.
+    """n x m firings and the share of class 1, which every step keeps -> its posteriors, m x 2 firing probabilities, m x m correlations within the classes, voters' weights.
 
-    The start is the voters' agreement: the more of them fire, the likelier class 1.  A voter's weight is one over the sum
-    of its squared correlations with all, itself among them: what k voters say alike counts once, what is said
+    A voter that does not fire speaks for the class in which it fires less.  The start is the voters' agreement: the more of them fire, the likelier class 1.  A voter's weight is one over the sum
+    of its squared positive correlations with all, itself among them: what k voters say alike counts once, what is said
     independently counts in full.
     """
     x = votes.astype(np.float64)
-    weight = 1 / (correlations(x, x.mean(axis=0)) ** 4).sum(axis=1)
-    agreed = x @ weight
+    weight = 1 / (np.maximum(correlations(x, x.mean(axis=0)), 0) ** 4).sum(axis=1)
+    # A voter that fires where the others do not speaks against class 1.
+    others = x.sum(axis=1, keepdims=True) - x
+    side = np.sign(((x - x.mean(axis=0)) * (others - others.mean(axis=0))).sum(axis=0))
+    agreed = np.maximum(x @ (weight * side), 0)
     # Between two values that occur, so that about as many rows as class 1 has are above.
     at = max(np.quantile(agreed, 1 - prior), agreed[agreed > 0].min(initial=agreed.max()))
     cut = (at + agreed[agreed < at].max(initial=0)) / 2
@@ -149,12 +164,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60, outer: int =
         for _ in range(rounds):
             fire = np.stack([((1 - post) @ x + 0.5) / ((1 - post).sum() + 1), (post @ x + 0.5) / (post.sum() + 1)], axis=1)
             gain = np.log(prior / (1 - prior)) + x @ (weight * np.log(fire[:, 1] / fire[:, 0])) + (1 - x) @ (weight * np.log((1 - fire[:, 1]) / (1 - fire[:, 0])))
-            new = 1 / (1 + np.exp(-np.clip(gain, -40, 40)))
+            new = 1 / (1 + np.exp(-np.clip(gain + _shift(gain, prior), -40, 40)))
             done, post = np.abs(new - post).max() < 1e-6, new
             if done:
                 break
         rho = correlations(x, np.outer(1 - post, fire[:, 0]) + np.outer(post, fire[:, 1]))
-        weight = 1 / (rho**2).sum(axis=1)
+        weight = 1 / (np.maximum(rho, 0) ** 2).sum(axis=1)
     return post, fire, rho, weight
 
 
@@ -213,6 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Line
     rows = keyed.mapInPandas(vote, "doc_id long, h long, votes array<boolean>").orderBy("doc_id", "h").toPandas()
     # The classes' shares in the sample, which draws so many of each.
     post, *_ = label_model(np.array(rows["votes"].tolist(), bool), float(np.clip(counts[1] / (counts[0] + counts[1]), 0.01, 0.99)))
+    # Posteriors are made more decided before they teach: the many rows of which little is known would else outweigh the rest.
+    post = post**2 / (post**2 + (1 - post) ** 2)
     of = dict(zip(zip(rows["doc_id"].tolist(), rows["h"].tolist(), strict=True), post.tolist(), strict=True))
 
     soft = lambda f: np.array([of[k] for k in zip(f["doc_id"].tolist(), f["h"].tolist(), strict=True)])
@@ -229,8 +246,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Line
             yield pd.DataFrame({"doc_id": frame["doc_id"], "h": frame["h"], "hits": [sorted(at[e] for e in empty.hits(t, known)) for t in frame["text"]]})
 
     held = keyed.mapInPandas(hold, "doc_id long, h long, hits array<int>").orderBy("doc_id", "h").toPandas()
-    w = fit_linear([list(h) for h in held["hits"]], soft(held), len(names))
-    return Linear(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]))
+    rows = [list(h) for h in held["hits"]]
+    w = fit_linear(rows, soft(held), len(names))
+    # The marks anchor the share: as many rows of the sample are above one half as are marked, if the odds move by MOST_SHIFT at most.
+    z = np.sort(np.array([w[h].sum() + w[-1] for h in rows]))[::-1]
+    shift = float(np.clip((z[counts[1] - 1] + z[min(counts[1], len(z) - 1)]) / 2, -np.log(MOST_SHIFT), np.log(MOST_SHIFT)))
+    return Linear(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]) - shift)
 
 
 def scorer(model: Linear) -> Callable[[list[str | None]], np.ndarray]:
