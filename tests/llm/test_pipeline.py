@@ -135,3 +135,92 @@ def test_mix_draws_rows_of_one_id_apart(spark, tmp_path):
     docs = rows_of(spark, *[(k % 3 if k % 4 else None, prose(k)) for k in range(40)])
     out = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
     assert len(out) == 40 and all(r.copies == 1 for r in out)
+
+
+HELPERS = ("row", "key", "h", "d", "gone", "size", "target", "copies", "taken", "source_size", "n_lines", "n_dropped", "emptied", "_hit", "_other", "_toxic", "_gone_id", "_gone_h", "_s", "_below", "place", "first", "stays", "score", "doc", "hash", "item", "ids", "a", "b", "o", "x", "kept", "ls", "_n", "_k", "_text")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    place = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(0, prose("item", 20))], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    return str(place)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_every_other_column_passes_through_every_stage(spark, tables, k):
+    """Columns named like any helper, of several types, with nulls; a null id, a repeated row and a null text among the rows."""
+    from pyspark.sql import functions as F
+
+    a, b = prose("a"), prose("b")
+    docs = rows_of(spark, (1, a), (2, b), (2, b), (None, prose("c")), (4, None), (5, "")).withColumns({c: F.when(F.col("doc_id") != 2, F.concat(F.lit(c), F.col("doc_id").cast("string"))) for c in HELPERS})
+    docs = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "when": F.lit("2020-01-01").cast("timestamp")})
+    out = corpus_pipeline.STAGES[k][1](spark, docs, tables)
+    assert out.columns[: len(docs.columns)] == docs.columns and (k == 4 or len(out.columns) == len(docs.columns))
+    rows = out.collect()
+    texts = {1: {a}, 2: {b}, 4: {None}, 5: {""}}
+    for r in rows:
+        assert r.doc_id is None or r.text in texts[r.doc_id]
+        assert all(r[c] == (None if r.doc_id in (None, 2) else f"{c}{r.doc_id}") for c in HELPERS) and r.m == {"k": r.doc_id}
+    assert {r.doc_id for r in rows} == {1, 2, None, 4, 5} and len(rows) == (5 if k == 2 else 6)
+    if k == 4:
+        assert {"mix_size", "mix_target", "mix_copies", "mix_taken"} <= set(out.columns) and all(r["mix_copies"] == 1 for r in rows)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_empty_tables(spark, tables, k):
+    docs = rows_of(spark, (1, "x")).limit(0)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, tables)
+    assert out.count() == 0 and out.columns[:5] == docs.columns
+
+
+def test_a_very_long_document_passes(spark, tables):
+    long = " ".join(prose(i, 500) for i in range(100))
+    docs = rows_of(spark, (1, long), (2, long + " zzzzzz"), (3, long + " " + prose("item", 20)), (4, prose("d")))
+    for k, want in ((0, {1, 2, 3, 4}), (1, {1, 2, 3, 4}), (2, {1, 4}), (3, {1, 2, 4})):
+        assert {r.doc_id for r in corpus_pipeline.STAGES[k][1](spark, docs, tables).select("doc_id").collect()} == want
+
+
+def test_run_leaves_only_its_result_in_the_shared_folder(spark, tables, tmp_path):
+    import shutil
+
+    from lexispark.llm import common
+
+    shutil.copytree(tables, tmp_path / "t")
+    rows_of(spark, (1, prose("a")), (2, prose("b"))).write.parquet(f"{tmp_path}/t/documents.parquet")
+    before = common.written()
+    out = corpus_pipeline.run(spark, f"{tmp_path}/t")
+    assert common.written() == before + 1 and out.count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from lexispark.llm import common
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Sc:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class Empty:
+                            @staticmethod
+                            def isEmpty():
+                                return True
+
+                        return Empty
+
+                return Sc
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
