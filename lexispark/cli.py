@@ -6,10 +6,13 @@ Exit codes: 0, 1 for a failed validation, 2 for a user's error, 130 for an inter
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from . import report
 from .engine import BuildConfig, benchmark, build, index_path
 from .functions.text import collapsed_snippet
@@ -28,10 +31,14 @@ def _parser(command: str) -> argparse.ArgumentParser:
         p.add_argument("--data", required=command != "interactive", help="documents as Parquet: doc_id, text and a label column")
         p.add_argument("--label", default="lang")
         p.add_argument("--epochs", type=int, default=10)
+        p.add_argument("--batch-size", type=int, help="rows that go to Python at a time while fitting and predicting")
         p.add_argument("--minimum-documents", type=int, default=500)
     if command == "benchmark":
         p.add_argument("--queries", type=int, default=100)
         p.add_argument("--repeats", type=int, default=5)
+        p.add_argument("--seeds", type=int, default=1)
+    if command not in ("build", "benchmark"):
+        p.add_argument("--verify", action="store_true", help="check every row of the stored index against its digests first")
     if command in ("search", "compare"):
         p.add_argument("--query", required=True)
         p.add_argument("--topk", type=int, default=5)
@@ -43,7 +50,7 @@ def _parser(command: str) -> argparse.ArgumentParser:
 
 
 def _config(o: argparse.Namespace) -> BuildConfig:
-    return BuildConfig(o.data, o.label, o.artifacts, o.reports, o.epochs, minimum_documents=o.minimum_documents)
+    return BuildConfig(o.data, o.label, o.artifacts, o.reports, o.epochs, minimum_documents=o.minimum_documents, batch_size=o.batch_size)
 
 
 def show(df) -> None:
@@ -64,6 +71,7 @@ def compare(index: store.Index, query: str, topk: int) -> bool:
     bm25 = index.search(query, topk, "bm25")
     show(bm25)
     show(R.overlap(raw, zero(bm25)))
+    show(R.compared(raw, zero(bm25), index.docs))
     scan = zero(index.search(query, topk, strategy="scan"))
     agreed = report.rows_of(R.consistency(scan, raw))[0]
     print("\nscan and inverted:", agreed)
@@ -71,12 +79,32 @@ def compare(index: store.Index, query: str, topk: int) -> bool:
 
 
 def demo(index: store.Index, reports: Path) -> bool:
+    """Six stages: corpus, document, search, TF modes with BM25 and strategies, speed, saved experiments; whether all that can fail has passed."""
     saved = report.load_benchmark(reports, index.manifest["fingerprint"], index.manifest["digest"], required=True)
+    stage = lambda n, what: print(f"\n[{n}/6] {what}")
+    stage(1, "corpus and index")
     print(f"documents {index.n_docs}, terms {index.manifest['n_terms']}, postings {index.manifest['nnz']}")
-    for part in ("quality", "latency", "ablation"):
+    sanitized = reports / "sanitization.json"
+    if sanitized.exists():
+        print(sanitized.read_text(encoding="utf-8")[:2000])
+    stage(2, "a document, sanitized")
+    show(index.docs.orderBy("doc_id").limit(1))
+    word = index.vocab.orderBy(F.col("df").desc(), "term").first().term
+    k = min(5, index.n_docs)
+    stage(3, f"search for {word!r}")
+    show(index.search(word, k))
+    stage(4, "TF modes, BM25 and strategies")
+    agreed = compare(index, word, k)
+    stage(5, "speed")
+    for s in R.STRATEGIES:
+        print(s, [f"{1000 * x:.1f} ms" for x in timed(lambda s=s: index.search(word, k, strategy=s).collect(), 3)])
+    stage(6, "saved experiments")
+    for part in report.PARTS:
         print(f"\n{part}\n{report.terminal_table(saved[part])}")
-    word = index.vocab.orderBy("df", ascending=False).first().term
-    return compare(index, word, min(5, index.n_docs))
+    checked = reports / "validation.json"
+    valid = not checked.exists() or bool(json.loads(checked.read_text(encoding="utf-8")).get("passed"))
+    print("\nstrategies agree:", agreed, " weights are valid:", valid)
+    return agreed and valid
 
 
 MENU = "1 search  2 TF modes, BM25 and strategies  3 speed  4 document  5 benchmark  6 index  0 quit"
@@ -127,9 +155,9 @@ def run(argv: Sequence[str]) -> int:
         made = build(spark, _config(o))
         print(f"build complete: {made}")
         return 0 if made.consistent else 1
-    index = store.load(spark, index_path(o.artifacts))
+    index = store.load(spark, index_path(o.artifacts), verify=getattr(o, "verify", True))
     if command == "benchmark":
-        benchmark(spark, _config(o), o.queries, o.repeats)
+        benchmark(spark, _config(o), o.queries, o.repeats, o.seeds)
         print(f"benchmark complete: {o.reports}")
         return 0
     if command == "search":
@@ -151,3 +179,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+
+
+def script() -> None:
+    """The console script."""
+    sys.exit(main())

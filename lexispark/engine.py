@@ -15,10 +15,11 @@ from .operators import retrieve as R
 from .operators import split as S
 from .operators import vectorize as V
 from .plans import experiments as E
+from .plans.validation import validate_weights
 from .sources import corpus, store
 
-#: The searches shown in reports where none are given.
-DEFAULT_QUERIES = ("space shuttle orbit", "baseball pitcher season", "computer graphics image")
+#: Searches that reports show where none are given: so many, of the most frequent terms that not every document has.
+SHOWN_QUERIES = 3
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,8 @@ class BuildConfig:
     epochs: int = 10
     seed: int = S.SEED
     minimum_documents: int = corpus.MINIMUM_DOCUMENTS
-    queries: tuple[str, ...] = DEFAULT_QUERIES
+    queries: tuple[str, ...] = ()
+    batch_size: int | None = None
 
 
 @dataclass(frozen=True)
@@ -47,21 +49,25 @@ def index_path(artifacts: str) -> str:
     return artifacts if ":" in artifacts else f"file://{Path(artifacts).resolve()}"
 
 
-def validate_weights(space: V.Space, tolerance: float = 1e-6) -> DataFrame:
-    """One row: largest and mean error of the stored raw weights against a second derivation by joins instead of windows."""
-    n = space.n_docs
-    df = space.counts.groupBy("term").agg(F.count("*").alias("_df"))
-    raw = space.counts.join(df, "term").withColumn("_u", F.col("count") * (F.log((1.0 + n) / (1.0 + F.col("_df"))) + 1.0))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow("_u", 2))).alias("_n"))
-    own = raw.join(norms, "doc_id").select("doc_id", "term", (F.col("_u") / F.col("_n")).alias("b"))
-    both = space.postings(["raw"], False).select("doc_id", "term", F.col("w_raw").alias("a")).join(own, ["doc_id", "term"], "full_outer")
-    error = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
-    out = both.agg(F.coalesce(F.max(error), F.lit(0.0)).alias("max_error"), F.coalesce(F.avg(error), F.lit(0.0)).alias("mean_error"))
-    return out.withColumn("passed", F.col("max_error") <= tolerance)
+def shown_queries(vocab: DataFrame, n_docs: int, given: tuple[str, ...]) -> tuple[str, ...]:
+    """The given ones, or pairs of neighbouring terms by document frequency, each of less than half of the documents."""
+    if given:
+        return given
+    terms = [r.term for r in vocab.filter(F.col("df") < max(n_docs / 2, 2)).orderBy(F.col("df").desc(), "term").limit(2 * SHOWN_QUERIES).collect()]
+    return tuple(" ".join(terms[i : i + 2]) for i in range(0, len(terms), 2))
+
+
+def check_batch_size(spark: SparkSession, size: int | None) -> None:
+    """Rows that go to Python at a time while fitting and predicting."""
+    if size is not None:
+        if size < 1:
+            raise ValueError("batch size must be positive")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
 def build(spark: SparkSession, config: BuildConfig) -> BuildReport:
     """Sanitize, validate, classify on a split, index the whole corpus, and write the index and the reports."""
+    check_batch_size(spark, config.batch_size)
     raw, categories = corpus.read_documents(spark, config.data, config.label)
     docs = corpus.load(raw).persist()
     reports = Path(config.reports)
@@ -76,7 +82,7 @@ def build(spark: SparkSession, config: BuildConfig) -> BuildReport:
         report.write_json(reports / "classification_errors.json", report.rows_of(C.misclassified(predictions, docs, categories)))
         report.save_confusion_matrix(cells, reports / "confusion_matrix.png")
         space = V.Space(docs.select("doc_id", "text")).require_terms()
-        checked = report.rows_of(validate_weights(space))[0]
+        checked = report.rows_of(validate_weights(space, docs.select("doc_id", "text")))[0]
         if not checked["passed"]:
             raise ValueError("TF-IDF weights fail their validation")
         report.write_json(reports / "validation.json", checked)
@@ -84,7 +90,7 @@ def build(spark: SparkSession, config: BuildConfig) -> BuildReport:
         index = store.load(spark, index_path(config.artifacts))
         report.write_json(reports / "index.json", report.rows_of(V.matrix_stats(index.postings, manifest["n_docs"], manifest["n_terms"]))[0])
         found, consistent = {}, True
-        for q in config.queries:
+        for q in shown_queries(index.vocab, n, config.queries):
             try:
                 best = [index.search(q, min(5, n), strategy=s) for s in R.STRATEGIES]
             except ValueError as e:
@@ -100,6 +106,7 @@ def build(spark: SparkSession, config: BuildConfig) -> BuildReport:
 
 def benchmark(spark: SparkSession, config: BuildConfig, count: int = 100, repeats: int = 5, seeds: int = 1) -> dict:
     """Quality of TF modes and BM25, strategies by size, stop words and comparisons, bound to the stored index."""
+    check_batch_size(spark, config.batch_size)
     index = store.load(spark, index_path(config.artifacts))
     raw, _ = corpus.read_documents(spark, config.data, config.label)
     docs = corpus.load(raw).persist()
@@ -108,22 +115,29 @@ def benchmark(spark: SparkSession, config: BuildConfig, count: int = 100, repeat
         raise ValueError("index artifact was built from another corpus; rebuild it")
     train, queries = E.held_out(docs, count, config.seed)
     compared = {}
-    for q in config.queries:
+    for q in shown_queries(index.vocab, index.n_docs, config.queries):
         try:
             a, b = (index.search(q, min(5, index.n_docs), method=m).withColumn("query_id", F.lit(0)) for m in ("tfidf", "bm25"))
-            compared[q] = {"overlap": sum(r["overlap"] for r in report.rows_of(R.overlap(a, b))), "rank_shift": report.rows_of(R.rank_shift(a, b))}
+            compared[q] = {"overlap": sum(r["overlap"] for r in report.rows_of(R.overlap(a, b))), "ranks": report.rows_of(R.compared(a, b, index.docs))}
         except ValueError as e:
             compared[q] = {"not_measured": str(e)}
     tfidf, bm25 = E.evaluate(train, queries, 10), E.evaluate(train, queries, 10, "bm25")
+    d = S.stratified_split(docs, seed=config.seed)
+    per_class = {m: report.rows_of(M.per_class(C.classify(d.filter("NOT is_test").drop("is_test"), d.filter("is_test").drop("is_test"), m, config.epochs))) for m in V.TF_MODES}
     result = {
-        "schema_version": report.SCHEMA_VERSION, "fingerprint": mark, "index_digest": index.manifest["digest"],
-        "quality": report.rows_of(E.tf_variants(docs, count)), "difference": report.rows_of(M.quality_difference(tfidf, bm25))[0], "cases": report.rows_of(M.difference_cases(tfidf, bm25)),
-        "latency": E.scan_against_inverted(docs, queries, repeats=repeats), "ablation": report.rows_of(E.stop_word_ablation(docs, count, seeds=range(seeds))), "comparisons": compared,
+        "schema_version": report.SCHEMA_VERSION, "fingerprint": mark, "index_digest": index.manifest["digest"], "settings": asdict(config) | {"queries_asked": count, "repeats": repeats, "seeds": seeds},
+        "quality": report.rows_of(E.tf_variants(docs, count, classify=True)), "difference": report.rows_of(M.quality_difference(tfidf, bm25))[0], "cases": report.rows_of(M.difference_cases(tfidf, bm25)), "per_class": per_class,
+        "latency": E.scan_against_inverted(docs, queries, repeats=repeats), "ablation": report.rows_of(E.stop_word_ablation(docs, count, seeds=range(seeds), classify=True)), "comparisons": compared,
     }
     reports = Path(config.reports)
     report.write_json(reports / "retrieval_benchmark.json", result)
-    for part in ("quality", "latency", "ablation"):
+    for part in report.PARTS:
         report.write_csv(reports / f"{part}.csv", result[part])
-    (reports / "experiment_summary.md").write_text(report.summary({part: result[part] for part in ("quality", "latency", "ablation")}), encoding="utf-8")
+    for mode, rows in per_class.items():
+        report.write_csv(reports / f"per_class_{mode}.csv", rows)
+    report.save_bars(result["quality"], "method", ["precision_at_k", "map_at_k"], reports / "quality.png")
+    report.save_bars([r | {"name": f"{r['strategy']} {r['documents']}"} for r in result["latency"]], "name", ["mean_ms", "p95_ms"], reports / "latency.png")
+    report.save_bars(result["ablation"], "name", ["precision_at_k_mean", "map_at_k_mean"], reports / "ablation.png")
+    (reports / "experiment_summary.md").write_text(report.benchmark_summary(result, index.manifest), encoding="utf-8")
     docs.unpersist()
     return result

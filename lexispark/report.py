@@ -45,6 +45,28 @@ def summary(sections: dict[str, list[dict]], title: str = "Experiments") -> str:
     return f"# {title}\n\n" + "\n".join(f"## {name}\n\n{markdown_table(rows)}" for name, rows in sections.items())
 
 
+#: Sections of a benchmark that are tables, and fields that their rows must have.
+PARTS = {"quality": ("method", "queries", "precision_at_k", "map_at_k"), "latency": ("documents", "strategy", "mean_ms", "p50_ms", "p95_ms", "samples"), "ablation": ("name", "stop_word_count", "runs", "precision_at_k_mean", "map_at_k_mean")}
+
+
+def benchmark_summary(result: dict, manifest: dict) -> str:
+    """What was measured, on what, and how it compares, in Markdown."""
+    d, settings = result["difference"], result["settings"]
+    best = max(result["quality"], key=lambda r: (r["map_at_k"], r["method"]))
+    head = f"""# Experiments
+
+Corpus of {manifest["n_docs"]} documents and {manifest["n_terms"]} terms, {manifest["nnz"]} postings; fingerprint `{result["fingerprint"][:16]}`, index `{result["index_digest"][:16]}`.
+{best["queries"]} held-out queries, {settings["repeats"]} timed repeats, {settings["seeds"]} seeds; labels count as relevance.
+
+Best by MAP: {best["method"]} ({best["map_at_k"]:.6f}). By average precision BM25 wins {d["second_wins"]}, TF-IDF {d["first_wins"]}, {d["ties"]} are ties.
+"""
+    titles = {"quality": "Retrieval and classification by weighting", "latency": "Scan against inverted search by corpus size", "ablation": "Stop words on and off"}
+    parts = [f"## {title}\n\n{markdown_table(result[part])}" for part, title in titles.items()]
+    cases = f"## First queries whose average precision differs\n\n{markdown_table(result['cases'])}"
+    shown = [f"### {q}\n\n" + (markdown_table(c["ranks"]) if "ranks" in c else f"not measured: {c['not_measured']}\n") for q, c in result["comparisons"].items()]
+    return "\n".join([head, *parts, cases, "## Searches by TF-IDF and BM25\n", *shown])
+
+
 def terminal_table(rows: list[dict], width: int = 60) -> str:
     """Columns as wide as their contents, long values cut with an ellipsis."""
     cut = lambda v: (s := f"{v:.6f}" if isinstance(v, float) else str(v))[: width - 1] + "…" if len(str(v)) > width else (f"{v:.6f}" if isinstance(v, float) else str(v))
@@ -71,12 +93,42 @@ def load_benchmark(reports: Path, fingerprint: str, digest: str, required: bool)
         raise ValueError("Benchmark report has another version; run benchmark again")
     if report.get("fingerprint") != fingerprint or report.get("index_digest") != digest:
         raise ValueError("Benchmark report belongs to another corpus or index; run benchmark again")
-    for part in ("quality", "latency", "ablation", "comparisons"):
+    for part in (*PARTS, "comparisons"):
         if part not in report:
             raise ValueError(f"Benchmark report lacks {part}; run benchmark again")
+    if not isinstance(report["comparisons"], dict):
+        raise ValueError("Benchmark report lacks comparisons; run benchmark again")
+    for part, fields in PARTS.items():
+        rows = report[part]
+        if not isinstance(rows, list) or not rows or not all(isinstance(r, dict) for r in rows):
+            raise ValueError(f"Benchmark report lacks rows of {part}; run benchmark again")
+        lost = sorted({f for r in rows for f in fields if f not in r})
+        if lost:
+            raise ValueError(f"Benchmark report lacks {', '.join(lost)} of {part}; run benchmark again")
     return report
 
 
+def save_bars(rows: list[dict], name: str, measures: list[str], path: Path) -> bool:
+    """Bars of each measure side by side, if matplotlib is there."""
+    try:
+        import matplotlib
+
+        matplotlib.use("Agg")
+        from matplotlib import pyplot
+    except ImportError:
+        return False
+    figure, axes = pyplot.subplots(figsize=(8, 4))
+    for i, measure in enumerate(measures):
+        axes.bar([k + 0.8 * i / len(measures) for k in range(len(rows))], [r[measure] or 0 for r in rows], 0.8 / len(measures), label=measure)
+    axes.set(xticks=range(len(rows)), xticklabels=[str(r[name]) for r in rows])
+    axes.legend()
+    path.parent.mkdir(parents=True, exist_ok=True)
+    figure.tight_layout()
+    figure.savefig(path)
+    pyplot.close(figure)
+    return True
+
+
 def save_confusion_matrix(rows: list[dict], path: Path) -> bool:
     """A heat map of (actual, predicted, n), if matplotlib is there."""
     try:

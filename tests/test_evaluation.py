@@ -103,4 +103,4 @@ def test_ablation_runs_every_seed(spark, fixture):
 
 
 def test_sampled_queries_keep_their_size(spark, fixture):
-    assert registry.queries()["per_query_metrics"](spark, fixture[0]).count() == registry.SAMPLED
+    assert registry.queries()["per_query_metrics"](spark, fixture[0]).count() == min(registry.SAMPLED, len(fixture[1]))

@@ -8,21 +8,21 @@ from lexispark.operators import vectorize as V
 from lexispark.plans import experiments as E
 from lexispark.sources import corpus, store
 
-R3 = [(90, "orbit space"), (3, "orbit rocket"), (7, "space orbit"), (12, "baseball game"), (99, "the")]
+CORPUS = [(41, "river bridge"), (6, "river stone"), (23, "bridge river"), (50, "violin concert"), (77, "of")]
 
 
-def space(spark, rows, stop=("the",), **kw):
+def space(spark, rows, stop=("of",), **kw):
     return V.Space(spark.createDataFrame(rows, "doc_id long, text string"), stop, **kw)
 
 
 def tokens(spark, *texts):
-    return V.tokenized(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"), ("the",), "query_id")
+    return V.tokenized(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"), ("of",), "query_id")
 
 
 def test_counts_idf_and_norms(spark):
-    s = space(spark, [(1, "apple apple banana"), (2, "banana carrot")])
+    s = space(spark, [(1, "clay clay iron"), (2, "iron salt"), (3, "iron")])
     idf = {r.term: r.idf for r in s.vocab.collect()}
-    assert idf["apple"] == pytest.approx(math.log(3 / 2) + 1) and idf["banana"] == pytest.approx(1)
+    assert idf["clay"] == pytest.approx(math.log(4 / 2) + 1) and idf["iron"] == pytest.approx(1)
     norms = {}
     for r in s.postings(with_bm25=False).collect():
         for m in V.TF_MODES:
@@ -31,16 +31,17 @@ def test_counts_idf_and_norms(spark):
 
 
 def test_vocabulary_is_in_code_point_order(spark):
-    s = space(spark, [(1, "zebra apple"), (2, "banana apple")])
-    assert {r.term: r.term_id for r in V.numbered(s.vocab).collect()} == {"apple": 0, "banana": 1, "zebra": 2}
+    words = ["yew", "ash", "alder", "al", "birch", "bi", "ashen", "zz"]
+    s = space(spark, [(i, f"{w} ash") for i, w in enumerate(words)])
+    assert {r.term: r.term_id for r in V.numbered(s.vocab).collect()} == {w: i for i, w in enumerate(sorted(words))}
 
 
 def test_double_tf(spark):
-    s = space(spark, [(0, "alpha alpha beta"), (1, "beta"), (2, "")])
+    s = space(spark, [(0, "clay clay clay iron"), (1, "iron"), (2, ""), (3, "of")])
     w = {(r.doc_id, r.term): r.w_double for r in s.postings(["double"], False).collect()}
-    a, b = 1 + math.log(2), 0.75 * (1 + math.log(4 / 3))
-    assert w[0, "alpha"] == pytest.approx(a / math.hypot(a, b)) and w[1, "beta"] == pytest.approx(1)
-    assert s.n_docs == 3
+    a, b = 1 + math.log(5 / 2), (0.5 + 0.5 / 3) * (1 + math.log(5 / 3))
+    assert w[0, "clay"] == pytest.approx(a / math.hypot(a, b)) and w[1, "iron"] == pytest.approx(1)
+    assert s.n_docs == 4
 
 
 def test_empty_vocabulary_is_an_error(spark):
@@ -49,24 +50,25 @@ def test_empty_vocabulary_is_an_error(spark):
 
 
 def test_bm25_by_hand(spark):
-    s = space(spark, [(90, "alpha alpha beta"), (7, "beta"), (42, "the")])
-    assert s.average == pytest.approx(4 / 3)
-    best = R.search_batch(s, tokens(spark, "alpha", "alpha alpha"), 3, "bm25").collect()
-    assert [(r.query_id, r.doc_id) for r in sorted(best)] == [(0, 90), (1, 90)]
-    assert all(r.score == pytest.approx(0.999571213260358) for r in best)
+    s = space(spark, [(31, "clay iron clay clay"), (8, "iron salt"), (64, "of")])
+    assert s.average == pytest.approx(2)
+    best = R.search_batch(s, tokens(spark, "clay", "clay clay"), 3, "bm25").collect()
+    assert [(r.query_id, r.doc_id) for r in sorted(best)] == [(0, 31), (1, 31)]
+    want = math.log(1 + 2.5 / 1.5) * 3 * 2.5 / (3 + 1.5 * (1 - 0.75 + 0.75 * 4 / 2))
+    assert all(r.score == pytest.approx(want) for r in best)
     for k1, b in ((-1, 0.5), (math.nan, 0.5), (1, -1), (1, 1.1), (math.inf, 0.5)):
         with pytest.raises(ValueError):
             V.check_bm25(k1, b)
 
 
 def test_ties_go_by_id_and_only_positive_scores_count(spark):
-    best = R.search_batch(space(spark, R3), tokens(spark, "space"), 3).collect()
-    assert [r.doc_id for r in sorted(best)] == [7, 90]
+    best = R.search_batch(space(spark, CORPUS), tokens(spark, "bridge"), 3).collect()
+    assert [r.doc_id for r in sorted(best)] == [23, 41]
 
 
 @pytest.mark.parametrize("mode", V.TF_MODES)
 def test_scan_equals_inverted(spark, mode):
-    s, q = space(spark, R3), tokens(spark, "space", "orbit rocket space", "orbit orbit", "nowhere")
+    s, q = space(spark, CORPUS), tokens(spark, "bridge", "stone river bridge", "river river river", "unheard")
     for k in (1, 3, 5):
         a, b = (R.search_batch(s, q, k, mode=mode, strategy=x) for x in R.STRATEGIES)
         assert R.consistency(a, b).first().consistent
@@ -96,8 +98,8 @@ def test_latency(spark):
 
 
 def test_store_round_trip_and_damage(spark, tmp_path):
-    docs = spark.createDataFrame([(9, "space space orbit", 0), (7, "baseball pitcher", 1), (3, "space rocket", 0)], "doc_id long, text string, label int")
-    names = spark.createDataFrame([(0, "sky"), (1, "sport")], "label int, name string")
+    docs = spark.createDataFrame([(18, "bridge bridge river", 0), (4, "violin concert", 1), (2, "bridge stone", 0)], "doc_id long, text string, label int")
+    names = spark.createDataFrame([(0, "land"), (1, "music")], "label int, name string")
     path = f"file://{tmp_path}/index"
     with pytest.raises(FileNotFoundError):
         store.load(spark, path)
@@ -106,9 +108,9 @@ def test_store_round_trip_and_damage(spark, tmp_path):
     index = store.load_for_corpus(spark, path, mark)
     assert (index.manifest["k1"], index.manifest["b"]) == (2.2, 0.3)
     for kw in ({}, {"strategy": "scan"}, {"mode": "log"}, {"mode": "double"}, {"method": "bm25"}):
-        rows = index.search("space", 2, **kw).collect()
-        assert {r.doc_id for r in rows} == {3, 9} and all(r.label == "sky" for r in rows)
-    for query, k, error in (("space", 4, "topk"), ("space", True, "topk"), (" ", 1, "blank"), ("unheard", 1, "no terms")):
+        rows = index.search("bridge", 2, **kw).collect()
+        assert {r.doc_id for r in rows} == {2, 18} and all(r.label == "land" for r in rows)
+    for query, k, error in (("bridge", 4, "topk"), ("bridge", True, "topk"), (" ", 1, "blank"), ("unheard", 1, "no terms")):
         with pytest.raises(ValueError, match=error):
             index.search(query, k)
     with pytest.raises(ValueError, match="another corpus"):
@@ -125,22 +127,102 @@ def test_store_round_trip_and_damage(spark, tmp_path):
 
 
 def test_plans_keep_their_shape(spark, tmp_path):
-    s = space(spark, R3)
-    plan = R.search_batch(s, tokens(spark, "space"), 3)._jdf.queryExecution().toString()
+    s = space(spark, CORPUS)
+    plan = R.search_batch(s, tokens(spark, "bridge"), 3)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
     s.postings().write.parquet(f"{tmp_path}/p")
-    pushed = spark.read.parquet(f"{tmp_path}/p").filter("term IN ('space')").select("doc_id")._jdf.queryExecution().toString()
-    assert "PushedFilters: [EqualTo(term,space)]" in pushed or "PushedFilters: [IsNotNull(term), EqualTo(term,space)]" in pushed
+    pushed = spark.read.parquet(f"{tmp_path}/p").filter("term IN ('bridge')").select("doc_id")._jdf.queryExecution().toString()
+    assert "PushedFilters: [EqualTo(term,bridge)]" in pushed or "PushedFilters: [IsNotNull(term), EqualTo(term,bridge)]" in pushed
 
 
 def test_experiments_are_deterministic_and_do_not_leak(spark):
-    rows = [(100 + i, ("space orbit rocket" if i % 2 == 0 else "baseball pitcher game") + (" orbit orbit" if i % 3 == 0 else " pitcher"), "sky" if i % 2 == 0 else "sport") for i in range(40)]
+    kinds = {"land": "river bridge stone meadow", "music": "violin concert choir organ", "food": "bread butter honey tea"}
+    rows = [(7 * i + 1, " ".join(w for k, w in enumerate(kinds[kind].split()) if (i + k) % 4) + " again", kind) for i in range(45) for kind in [list(kinds)[i % 3]]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     train, queries = E.held_out(docs, 6)
     ids = {r.query_id for r in queries.collect()}
     assert len(ids) == 6 and not ids & {r.doc_id for r in train.collect()}
     one, two = (E.tf_variants(docs, 6).collect() for _ in range(2))
-    assert one == two and {r.method for r in one} == {"raw", "log", "double", "bm25"}
+    assert one == two and {r.method for r in one} == {"raw", "log", "double", "bm25"} and all(r.empty_queries == 0 for r in one)
+
+
+def test_classified_variants(spark):
+    kinds = {"land": "river bridge stone meadow", "music": "violin concert choir organ"}
+    rows = [(i, " ".join(w for k, w in enumerate(kinds[kind].split()) if (i + k) % 4) + " again", kind) for i in range(40) for kind in [list(kinds)[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    assert E.classified(docs, "log").first() == (1.0, 1.0)
+
+
+def test_splits_are_thresholds_of_the_hash_order(spark):
+    import hashlib
+
+    from lexispark.operators import split as S
+
+    rows = [(i, "t", None if i % 11 == 0 else "abc"[i % 3]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    order = lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0])
+    want = set()
+    for label in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[2] == label), key=order)
+        want |= {r[0] for r in own[: math.ceil(0.2 * len(own))]}
+    out = S.stratified_split(docs)
+    assert {r.doc_id for r in out.filter("is_test").collect()} == want and out.count() == len(rows)
+    plan = out._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "BroadcastHashJoin" in plan
+    assert S.query_subset(out.filter("is_test").drop("is_test"), 50).count() == 50
+    assert S.stratified_split(docs.limit(0)).count() == 0
+
+
+def test_scan_of_many_documents_and_batches(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(300)]
+    s, q = space(spark, rows), tokens(spark, *[" ".join(rng.choices(words, k=5)) for _ in range(12)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        a, b = (R.search_batch(s, q, 7, strategy=x).collect() for x in R.STRATEGIES)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, r.rank, r.doc_id) for r in sorted(a)] == [(r.query_id, r.rank, r.doc_id) for r in sorted(b)] and len(a) == 84
+    plan = R.search_batch(s, q, 7, strategy="scan")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_matrix_validation(spark):
+    s = space(spark, CORPUS)
+    assert V.validated(s.counts, s.vocab, s.n_docs, ids=s.lengths).count() == s.counts.count()
+    twice = s.counts.unionByName(s.counts.limit(1))
+    for cells, n, error in ((twice, 5, "repeated"), (s.counts.selectExpr("doc_id", "term", "CAST('NaN' AS DOUBLE) AS count"), 5, "values"), (s.counts.selectExpr("doc_id", "concat(term, 'x') AS term", "count"), 5, "unknown terms"), (s.counts.selectExpr("doc_id + 1000 AS doc_id", "term", "count"), 5, "unknown documents"), (s.counts, 1, "over the shape")):
+        with pytest.raises(ValueError, match=error):
+            V.validated(cells, s.vocab, n, ids=s.lengths)
+
+
+def test_validation_notices_a_wrong_weight(spark):
+    from lexispark.plans import validation
+
+    docs = spark.createDataFrame(CORPUS, "doc_id long, text string")
+    s = space(spark, CORPUS)
+    assert validation.validate_weights(s, docs).first().passed
+    postings = s.postings
+    s.postings = lambda *a: postings(*a).withColumn("w_raw", V.F.col("w_raw") + V.F.when(V.F.col("doc_id") == 6, 0.01).otherwise(0.0))
+    wrong = validation.validate_weights(s, docs).first()
+    assert not wrong.passed and wrong.max_error == pytest.approx(0.01)
+
+
+def test_search_as_a_table_function(spark, tmp_path):
+    from lexispark.functions.register import register
+
+    docs = spark.createDataFrame([(18, "bridge bridge river", 0), (4, "violin concert", 1), (2, "bridge stone", 0)], "doc_id long, text string, label int")
+    names = spark.createDataFrame([(0, "land"), (1, "music")], "label int, name string")
+    store.save(V.Space(docs.select("doc_id", "text")), docs, names, f"file://{tmp_path}/i", "")
+    index = store.load(spark, f"file://{tmp_path}/i", verify=True)
+    assert "lexi_search" in register(spark, index)
+    got = spark.sql("SELECT * FROM lexi_search('Bridge, violin', 2) ORDER BY rank").collect()
+    want = index.search("bridge violin", 2, "bm25").collect()
+    assert [(r["rank"], r.doc_id) for r in got] == [(r["rank"], r.doc_id) for r in want]
+    assert len(store.file_digests(spark, f"file://{tmp_path}/i/vocab")) >= 1
 
 
 def test_metric_edges(spark):
