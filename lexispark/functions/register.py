@@ -60,7 +60,8 @@ def register(spark: SparkSession, index=None, stop_words: Iterable[str] = T.STOP
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS {kind} RETURN {body}")
         names.append(prefix + name)
     cut = f"CASE WHEN length(c) <= {n} THEN c WHEN substr(c, {n + 1}, 1) = ' ' THEN substr(c, 1, {n}) ELSE regexp_replace(substr(c, 1, {n}), ' [^ ]*$', '') END"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}snippet(t STRING) RETURNS STRING RETURN (SELECT {cut} FROM (SELECT {prefix}clean(t) AS c))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}cut(c STRING) RETURNS STRING RETURN {cut}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}snippet(t STRING) RETURNS STRING RETURN {prefix}cut({prefix}clean(t))")
     names.append(f"{prefix}snippet")
     if index is not None:
         index.postings.createOrReplaceTempView(f"{prefix}postings")
