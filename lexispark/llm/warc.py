@@ -249,7 +249,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             for page_id, url, payload, digest, refers in zip(*(frame[c].array for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 if out is None:
                     path, records, size = f"{root}/pages-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = place.open_output_stream(path)
+                    out = place.open_output_stream(path, compression=None)
                 whole = lambda v: None if pd.isna(v) else int(v)
                 member = make_record(whole(page_id), None if pd.isna(url) else url, payload, digest, whole(refers))
                 out.write(member)
