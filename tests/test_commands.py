@@ -50,7 +50,9 @@ def test_menu_recovers(built, monkeypatch, capsys):
     assert "unknown choice" in out and "no terms" in out and "no benchmark yet" in out
 
 
-def test_benchmark_and_demo(spark, built, capsys):
+def test_benchmark_and_demo(spark, built, capsys, monkeypatch):
+    # The SVM is fitted by the build above and by test_classified_variants; eight more would only take time.
+    monkeypatch.setattr("lexispark.operators.classify.classify", lambda train, test, *a, **k: test.selectExpr("doc_id", "label", "label AS prediction"))
     common = ["--artifacts", str(built / "index"), "--reports", str(built / "reports")]
     assert cli.main(["benchmark", "--data", str(built / "docs"), *common, "--queries", "4", "--repeats", "1", "--epochs", "2", "--batch-size", "500"]) == 0
     made = {p.name for p in (built / "reports").iterdir()}
