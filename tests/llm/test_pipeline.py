@@ -165,7 +165,9 @@ def test_every_other_column_passes_through_every_stage(spark, tables, k):
         assert all(r[c] == (None if r.doc_id in (None, 2) else f"{c}{r.doc_id}") for c in HELPERS) and r.m == {"k": r.doc_id}
     assert {r.doc_id for r in rows} == {1, 2, None, 4, 5} and len(rows) == (5 if k == 2 else 6)
     if k == 4:
-        assert {"mix_size", "mix_target", "mix_copies", "mix_taken"} <= set(out.columns) and all(r["mix_copies"] == 1 for r in rows)
+        assert {"mix_size", "mix_target", "mix_copies", "mix_taken"} <= set(out.columns)
+        # One source, so every word is taken once; documents without words may stand more often, which adds nothing.
+        assert all(r["mix_taken"] == r["mix_size"] and r["mix_copies"] >= 1 for r in rows)
 
 
 @pytest.mark.parametrize("k", range(5))
