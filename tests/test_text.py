@@ -108,3 +108,12 @@ def test_registered_functions_equal_the_columns(spark):
     for i, r in want.items():
         assert (got[i].clean, got[i].safe, got[i].snippet) == (r.clean, r.safe, r.cut) and got[i].redactions == r.redactions
     assert spark.sql("SELECT lexi_tokens('The lanterns and a boat')").first()[0] == ["lanterns", "boat"]
+
+
+def test_snippet_query_takes_documents_without_words(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "12 34 !", "en", "web"), (2, "two words", "en", "web"), (3, "", "en", "web"), (4, "a@b.com", "fr", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.snippet for r in entry.queries()["safe_snippet"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "two words", 3: "", 4: ""}
