@@ -233,3 +233,12 @@ def test_metric_edges(spark):
     assert got["a"] == (pytest.approx(0.9), pytest.approx(0.1414213562)) and got["b"] == (0.5, 0.0)
     with pytest.raises(ValueError, match="at least 500"):
         corpus.validate(spark.createDataFrame([(1, "x", 0)], "doc_id long, text string, label int"))
+
+
+def test_equal_weights_in_another_order_are_tied(spark):
+    parts = [0.1, 0.2, 0.3, 1e-9, 3.7]
+    rows = [(d, f"t{d}{i}", w) for d, own in ((1, parts), (2, parts[::-1]), (3, sorted(parts))) for i, w in enumerate(own)]
+    postings = spark.createDataFrame(rows, "doc_id long, term string, w_bm25 double").coalesce(1)
+    weights = spark.createDataFrame([(0, t, 1.0) for _, t, _ in rows], "query_id long, term string, weight double")
+    scores = [r.score for r in R.scores_inverted(postings, weights, "w_bm25", True).collect()]
+    assert len(scores) == 3 and len(set(scores)) == 1 and scores[0] == pytest.approx(math.fsum(parts), abs=1e-13)
