@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from lexispark.operators import blocks as K
+from lexispark.operators import classify as C
+from lexispark.operators import vectorize as V
 from lexispark.plans.experiments import HeldOut
 
 
@@ -45,3 +47,19 @@ def test_no_row_for_each_pair_leaves_the_search(spark):
     metrics, found = held.metrics(3)
     assert metrics.count() == 80
     assert found.scores.count() <= 80 * 3 * held.counts.rdd.getNumPartitions()
+
+
+def test_features_are_the_weights_of_the_space(spark):
+    rows = [(i, f"words {'abcdefgh'[i % 8] * 3} {'xyz'[i % 3] * 2} the words", i % 2) for i in range(40)] + [(40, "12", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    counts = K.counted(docs)
+    found = K.fit(counts, K.hashes(spark, ["the"]))
+    got = {r.doc_id: sorted(r.features.values) for r in C.features(counts, found, "log").collect()}
+    want = {i: [] for i, *_ in rows}
+    for r in V.Space(docs.select("doc_id", "text"), ["the"]).postings(["log"], False).collect():
+        want[r.doc_id].append(r.w_log)
+    assert got == {i: pytest.approx(sorted(w)) for i, w in want.items()}
+
+
+def test_histories_of_machines_are_bounded_together():
+    assert [C.trained_at_once(n) for n in (0, 1_000, 400_000, 10_000_000)] == [4, 4, 1, 1]
