@@ -63,3 +63,35 @@ def test_features_are_the_weights_of_the_space(spark):
 
 def test_histories_of_machines_are_bounded_together():
     assert [C.trained_at_once(n) for n in (0, 1_000, 400_000, 10_000_000)] == [4, 4, 1, 1]
+
+
+def test_places_are_those_of_a_binary_search():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 1000):
+        ids = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, n), [5, 6, 7, 8][: n - 1]]).astype(np.int64))
+        asked = np.concatenate([ids, ids - 1, rng.integers(-(2**63), 2**63 - 1, 100), [-(2**63), 2**63 - 1]]).astype(np.int64)
+        found = K.Fit(ids, np.ones(len(ids)), 1, 1.0).places(asked)
+        assert (found == np.minimum(np.searchsorted(ids, asked), len(ids) - 1)).all()
+
+
+@pytest.mark.parametrize("method", ["tfidf", "bm25"])
+def test_measures_from_labels_are_those_of_the_lists(spark, monkeypatch, method):
+    """Two labels with words of their own, some documents in the words of the other label, copies, empty ones and no label."""
+    monkeypatch.setattr(K, "BOUND_DOCS", 40)
+    monkeypatch.setattr(K, "BOUND_TERMS", 300)
+    monkeypatch.setattr(K, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    words = {x: [f"{x}{'abcdefghijklmnopqrst'[i]}" for i in range(20)] + ["both", "shared"] for x in ("xx", "yy")}
+    rows = []
+    for i in range(400):
+        label = ("xx", "yy")[i % 2]
+        own = words[("xx", "yy")[(i + (i % 41 == 0)) % 2]]
+        text = "" if i % 50 == 0 else rows[i - 2][1] if i % 5 == 0 else " ".join(own[int(22 * rng.random() ** 2)] for _ in range(12))
+        rows.append((i, text, None if i % 97 == 5 else "few" if i % 80 == 7 else label))
+    held = HeldOut(spark.createDataFrame(rows, "doc_id long, text string, label string"))
+    want = {r[0]: r[1:] for r in held.metrics(5, method)[0].select("query_id", "precision_at_k", "ap_at_k").collect()}
+    measures, found = held.measures(5, method)
+    got = {r[0]: r[1:] for r in measures.collect()}
+    assert got == want
+    searched = found.scores.select("query_id").distinct().count()
+    assert 0 < searched < len(want)
